@@ -81,7 +81,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def segment_popcounts(fp: Column) -> Column:
     """32 popcounts of two-bit segments, packed in two bits each."""
-    return fp.bitwiseAND(F.lit(-1)) - F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_LOW))
+    low, high = fp.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_LOW))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
 def manhattan(a: Column, b: Column) -> Column:
