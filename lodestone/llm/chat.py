@@ -57,8 +57,7 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     whole = whole.withColumn("prefix", F.when(F.size(differs) > 0, F.array_min(F.transform(differs, lambda y: y["k"]))).otherwise(F.size("x")))
     out = [F.array_join(F.transform(F.filter("x", lambda y: y["k"] < F.col("prefix")), lambda y: _rendered(y["r0"], y["t0"])), "").alias("prompt")]
     for i, name in enumerate(("chosen", "rejected")):
-        rest = F.filter("x", lambda y, i=i: (y["k"] >= F.col("prefix")) & y[f"r{i}"].isNotNull())
-        out.append(F.transform(rest, lambda y, i=i: F.struct(y[f"r{i}"].alias("role"), y[f"t{i}"].alias("text"))).alias(f"{name}_turns"))
+        out.append(_rest(f"r{i}", f"t{i}").alias(f"{name}_turns"))
     split = whole.select("pair_id", F.col("prefix").cast("int").alias("n_prompt_turns"), *out)
     found = []
     for name in ("chosen", "rejected"):
@@ -69,6 +68,12 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids.join(made, "pair_id", "left").select("pair_id", "chosen_id", "rejected_id", F.coalesce("n_prompt_turns", F.lit(0)).alias("n_prompt_turns"), *[F.coalesce(c, F.lit("")).alias(c) for c in strings])
 
 
+def _rest(role: str, text: str) -> Column:
+    """The turns of one side that follow the prefix."""
+    rest = F.filter("x", lambda y: (y["k"] >= F.col("prefix")) & y[role].isNotNull())
+    return F.transform(rest, lambda y: F.struct(y[role].alias("role"), y[text].alias("text")))
+
+
 def _mask(rest: Column) -> Column:
     """Spans of the trained turns of a list of turns, comma-joined."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))

@@ -27,7 +27,7 @@ SMOOTHING = 0.5
 #: The evidence of a longer document counts as that of so many words.
 EVIDENCE = 40
 #: Iterations at most, and the largest relative miss of a target to stop at.
-ROUNDS, TOLERANCE = 60, 1e-4
+ROUNDS, TOLERANCE = 60, 1e-6
 #: A domain with less than this share of all expected tokens counts as absent.
 LEAST_SHARE = 1e-6
 #: Shares of the token total that the registered query and the pipeline aim at.
@@ -113,7 +113,8 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
-    """A rate as a whole number: its fraction is a chance, drawn from the id."""
+    """A rate, to four places, as a whole number: its fraction is a chance, drawn from the id."""
+    rate = F.round(rate, 4)
     chance = F.pmod(F.xxhash64(F.lit("mixing"), doc_id), F.lit(1 << 24)) / F.lit(float(1 << 24))
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("int")
 

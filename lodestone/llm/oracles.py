@@ -44,9 +44,9 @@ FROM p LEFT JOIN g ON p.pair_id = g.pair_id LEFT JOIN x ON p.pair_id = x.pair_id
 
 OP6 = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(max(list_dot_product(q.e, c.e)) AS BIGINT) AS score
