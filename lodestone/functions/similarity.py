@@ -93,15 +93,22 @@ def compare_components(a: Column, b: Column) -> Column:
 
 def date_similarity(a: Column, b: Column) -> Column:
     """1 for one day, falling with the distance; by components or letters where a side is no date."""
-    x, y = parse_date(a), parse_date(b)
-    days = F.abs(F.datediff(x, y)) / F.lit(365.0)
-    years = F.abs(F.year(x) - F.year(y))
-    parsed = F.lit(1.0) / (F.lit(1.0) + days + F.lit(0.5) * years)
-    p, q = date_components(a), date_components(b)
     bare = lambda c: F.regexp_replace(F.lower(F.trim(_text(c))), r"[-/.\s]", "")
-    letters = F.when(bare(a) == bare(b), F.lit(1.0)).otherwise(F.lit(0.5) * levenshtein_similarity(bare(a), bare(b)))
-    blank = (F.trim(_text(a)) == "") | (F.trim(_text(b)) == "")
-    return F.when(blank, F.lit(0.0)).when(x.isNotNull() & y.isNotNull(), parsed).when(p.isNotNull() & q.isNotNull(), compare_components(p, q)).otherwise(letters)
+    found = F.struct(
+        parse_date(a).alias("x"), parse_date(b).alias("y"), date_components(a).alias("p"), date_components(b).alias("q"),
+        bare(a).alias("s"), bare(b).alias("t"), (F.trim(_text(a)) == "").alias("i"), (F.trim(_text(b)) == "").alias("j"),
+    )
+
+    def score(v: Column) -> Column:
+        days = F.abs(F.datediff(v["x"], v["y"])) / F.lit(365.0)
+        parsed = F.lit(1.0) / (F.lit(1.0) + days + F.lit(0.5) * F.abs(F.year(v["x"]) - F.year(v["y"])))
+        letters = F.when(v["s"] == v["t"], F.lit(1.0)).otherwise(F.lit(0.5) * levenshtein_similarity(v["s"], v["t"]))
+        both = v["x"].isNotNull() & v["y"].isNotNull()
+        parts = v["p"].isNotNull() & v["q"].isNotNull()
+        return F.when(v["i"] | v["j"], F.lit(0.0)).when(both, parsed).when(parts, compare_components(v["p"], v["q"])).otherwise(letters)
+
+    # a lambda names the parts, which would otherwise be repeated wherever they are read
+    return F.get(F.transform(F.array(found), score), F.lit(0))
 
 
 def similarity(algorithm: str, a: Column, b: Column) -> Column:
