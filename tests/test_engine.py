@@ -15,7 +15,7 @@ from lodestone.plans.specs import map_query
 from lodestone.sources.loaders import load_source, with_index
 from lodestone.sources.sinks import summary_report, write_results
 
-PEOPLE = [(0, "John Smith", "john@a.com", "555-123-4567"), (1, "Mary Jones", "mary@a.com", "555-222-3333"), (2, "Ann Lee", None, None), (3, "", "", "")]
+PEOPLE = [(0, "John Smith", "john@a.com", "555-123-4567"), (1, "Mary Jones", "mary@a.com", "555-222-3333"), (2, "Ann Lee", None, None), (3, "", "", ""), (4, "Pat Doe", "pat@d.com", "555-888-9999"), (5, "Eve Fox", "eve@f.com", "555-777-1111")]
 OTHERS = [(0, "Mary Jones", "mary@a.com", "(555) 222-3333"), (1, "Jon Smith", "john@a.com", "555 123 4567"), (2, "Zed Qux", "zed@q.org", "1")]
 
 
@@ -27,7 +27,7 @@ def test_best_match(spark):
     out = {r["source1_index"]: r for r in L.match(people(spark), people(spark, OTHERS), [{"source1": c, "source2": c} for c in ("name", "email", "phone")], left_key="id", right_key="id").collect()}
     assert (out[0]["source2_index"], out[0]["match_result"]) == (1, "accept")
     assert (out[1]["source2_index"], out[1]["overall_score"], out[1]["score_email"]) == (0, 1.0, None)
-    assert 3 not in out
+    assert 3 not in out and coverage(people(spark).selectExpr("id AS source1_index"), 6) == 1.0
 
 
 def test_all_matches_hold_the_best(spark):
@@ -127,7 +127,7 @@ def test_stream_against_master(spark, tmp_path):
 
     people(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, name string, email string, phone string").parquet(str(tmp_path / "in"))
-    q = match_stream(stream, people(spark, OTHERS), str(tmp_path / "out"), str(tmp_path / "cp"), left_key="id", right_key="id", once=True)
+    q = match_stream(stream, people(spark, OTHERS), str(tmp_path / "out"), str(tmp_path / "cp"), [{"source1": c, "source2": c} for c in ("name", "email")], left_key="id", right_key="id", once=True)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("source1_index = 1").first()["source2_index"] == 0
 
