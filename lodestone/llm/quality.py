@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, words
+from lodestone.llm.common import words
 from lodestone.plans.lineage import cut
 
 #: Buckets of the hashed n-grams.
@@ -74,6 +74,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).alias("n_repeat_words"),
     )
+    # A filter on a count would otherwise be pushed through all of the above and repeat it.
+    d = cut(d)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return d.withColumn("base_failed", failed)
 
@@ -127,6 +129,3 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, sam
     both = base_rules(docs).join(ratios, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     verdict = F.coalesce(F.col("log_ratio") >= threshold, F.lit(False))
     return both.withColumn("kept", ~F.col("base_failed") & verdict)
-
-
-__all__ = ["SPACE", "base_rules", "judge", "log_ratios", "ratio_table", "repeat_words"]
