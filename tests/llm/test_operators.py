@@ -116,7 +116,7 @@ def test_factorization_machine_learns_a_pair():
     data, y = [], []
     for _ in range(1500):
         a, b = rng.random(2) < 0.5
-        data.append(sorted([1] * a + [2] * b + list(rng.choice(np.arange(10, 40), 5, replace=False))))
+        data.append(sorted(map(int, [1] * int(a) + [2] * int(b) + list(rng.choice(np.arange(10, 40), 5, replace=False)))))
         y.append(int(a and b))
     m = toxicity.train(data, y, epochs=25)
     p = [m.logit(np.array([m.rows[i] for i in r if i in m.rows], int)) > 0 for r in data]
