@@ -1,8 +1,8 @@
 """Quality rules: a log-likelihood ratio of hashed n-grams beside plain counts.
 
 Words and pairs of neighbouring words are hashed to a fixed number of buckets.
-Two multinomials are counted, one over a bounded sample of trusted documents and
-one over the whole raw corpus; a document's verdict is the mean, over its
+Two multinomials are counted, one over all trusted documents and one over the
+whole raw corpus; a document's verdict is the mean, over its
 n-grams, of the logarithm of the ratio of the two, held against a fixed
 threshold.  Everything is DataFrame code without Python on the executors.
 """
@@ -17,8 +17,8 @@ from lodestone.plans.lineage import cut
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 14
-#: Trusted documents that the target multinomial is counted on, at most.
-TRUSTED = 20_000
+#: Ids of trusted documents that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Added to every count.
 SMOOTHING = 1.0
 #: Documents whose mean log ratio is below this fail.
@@ -89,16 +89,16 @@ def _pairs(docs: DataFrame, *keep: str) -> DataFrame:
     return each.select(*keep, bucket("a").alias("one"), F.when(F.col("b").isNotNull(), bucket(F.lit(2), "a", "b")).alias("two"))
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, sample: int = TRUSTED) -> DataFrame:
+def ratio_table(docs: DataFrame, trusted: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(bucket, weight): log of target over raw probability of every bucket.
 
-    ``trusted`` holds doc_ids; if there are more than ``sample``, those with the
-    least hash are taken.  The raw counts cover all of ``docs``.  Without any
-    trusted text all weights are zero.
+    ``trusted`` holds doc_ids.  The target counts cover all documents of those
+    ids, the raw counts all of ``docs``.  Without any trusted text all weights
+    are zero.
     """
-    ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    # At most ``sample`` ids.
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left")
+    ids = cut(trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left")
     grams = _pairs(marked.withColumn("good", F.col("__id").isNotNull()), "good")
     both = grams.select("good", F.explode(F.array("one", "two")).alias("bucket")).where("bucket IS NOT NULL")
     counts = both.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good"))
@@ -119,13 +119,13 @@ def log_ratios(docs: DataFrame, table: DataFrame) -> DataFrame:
     return grams.groupBy("doc_id").agg(((F.sum("w1") + F.coalesce(F.sum("w2"), F.lit(0.0))) / n).alias("log_ratio"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, sample: int = TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The base counts of every row, ``log_ratio`` (null without words) and ``kept``.
 
     Rows that share a doc_id are counted one by one and share one ratio; so do
     rows with a null doc_id.  An empty table gives an empty result.
     """
-    ratios = log_ratios(docs, ratio_table(docs, trusted, sample)).withColumnRenamed("doc_id", "__id")
+    ratios = log_ratios(docs, ratio_table(docs, trusted, broadcast_ids)).withColumnRenamed("doc_id", "__id")
     both = base_rules(docs).join(ratios, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     verdict = F.coalesce(F.col("log_ratio") >= threshold, F.lit(False))
     return both.withColumn("kept", ~F.col("base_failed") & verdict)
