@@ -28,8 +28,6 @@ SAMPLE = 20_000
 RANK = 4
 #: Training rows that must hold a bucket before it gets weights.
 MIN_ROWS = 4
-#: Of the text of a training row, so many code points are read; scoring reads all.
-TRAIN_CHARS = 50_000
 
 #: ASCII bytes that are no letters part terms.
 _PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -73,15 +71,14 @@ def train(rows: list, labels: list[int], rank: int = RANK, epochs: int = 12, rat
     if not rows:
         return Model(-40.0, {}, np.zeros(0), np.zeros((0, rank)))
     y = np.asarray(labels, np.float64)
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows] + [np.zeros(0, np.int64)])
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows] + [np.zeros(0, np.int32)])
     sizes = np.array([len(r) for r in rows])
-    known, inverse, found = np.unique(flat, return_inverse=True, return_counts=True)
-    often = found >= MIN_ROWS
-    place = np.where(often, np.cumsum(often) - 1, -1)
-    known = known[often]
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    kept = place[inverse] >= 0
-    cols, doc = place[inverse][kept], doc[kept]
+    often = np.bincount(flat) >= MIN_ROWS
+    place = np.where(often, np.cumsum(often, dtype=np.int32) - 1, -1)
+    known = np.flatnonzero(often)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    cols = place[flat] if len(flat) else flat
+    doc, cols = doc[cols >= 0], cols[cols >= 0]
     starts = np.searchsorted(doc, np.arange(len(rows) + 1))
     rng = np.random.default_rng(seed)
     m = len(known)
@@ -136,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: i
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` pairs of numbers: bounded by the parameter.
-    texts = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(taken), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
     got = texts.select("toxic", "text").mapInPandas(_bucket_batches, "toxic int, terms binary").collect()
     got = sorted((bytes(r["terms"]), int(r["toxic"] > 0)) for r in got)
     return train([np.frombuffer(t, "<i4") for t, _ in got], [k for _, k in got])
