@@ -75,12 +75,14 @@ def _name_before(text: str, at: int, floor: int) -> str:
     return text[start:end].strip(".-")
 
 
-def pairs(text: str) -> list[tuple[str, int, int, str, bool]]:
-    """(name, start, end, value, quoted) of each assignment; spans are the literal's own.
+def pairs(text: str) -> list[tuple[str, int, int, bool]]:
+    """(name, start, end, quoted) of each assignment; spans are the literal's own.
 
-    ``==``, ``!=``, ``<=``, ``>=``, ``::`` and ``://`` assign nothing.
+    ``==``, ``!=``, ``<=``, ``>=``, ``::`` and ``://`` assign nothing.  A bare
+    value may hold further assignments (``a=b=c``); values are given by their
+    places only, so that a long chain of them takes no more than its length.
     """
-    out, floor = [], 0
+    out, floor, run, end = [], 0, 0, 0  # run, end: where the bare run that was read last ends, and the value in it
     for op in _OPERATOR.finditer(text):
         a, b = op.span()
         if a < floor:
@@ -96,14 +98,14 @@ def pairs(text: str) -> list[tuple[str, int, int, str, bool]]:
             at += 1
         if m := _QUOTED.match(text, at):
             k = 1 if m.group(1) is not None else 2
-            out.append((name, m.start(k), m.end(k), m.group(k), True))
+            out.append((name, m.start(k), m.end(k), True))
             floor = m.end()
-        elif m := _BARE.match(text, at):
-            value = m.group().rstrip(".!?:")
-            if value:
-                out.append((name, m.start(), m.start() + len(value), value, False))
-                # a bare value may itself hold the next assignment (a=b=c)
-                floor = b
+            continue
+        if at >= run and (m := _BARE.match(text, at)):
+            run, end = m.end(), at + len(m.group().rstrip(".!?:"))
+        if end > at:
+            out.append((name, at, end, False))
+            floor = b
     return out
 
 
@@ -131,18 +133,25 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
     if not any(name_score(p[0]) > 0 for p in found):
         return []
     # Constants: the last literal bound to a name before it is read, as in straight-line code.
-    bound: dict[str, tuple[int, int, str]] = {}
-    out = set()
-    for name, start, end, value, quoted in found:
-        literal = (start, end, value)
-        is_name = not quoted and _IDENTIFIER.match(value)
-        if is_name and value in bound:
-            literal = bound[value]
+    bound: dict[str, tuple[int, int]] = {}
+    scores: dict[tuple[int, int], float] = {}
+    out, floor = set(), 0
+    for name, start, end, quoted in found:
+        if start < floor:
+            continue
+        literal = (start, end)
+        is_name = not quoted and _IDENTIFIER.match(text, start, end)
+        if is_name:
+            literal = bound.get(text[start:end], literal)
         bound[name] = literal
         weight = name_score(name)
-        if weight > 0 and not (is_name and literal[:2] == (start, end) and not any(c.isdigit() for c in value)):
-            if weight + literal_score(literal[2]) >= threshold:
-                out.add((literal[0], literal[1], "lexed"))
+        if weight > 0 and not (is_name and literal == (start, end) and not any(c.isdigit() for c in text[start:end])):
+            if literal not in scores:
+                scores[literal] = literal_score(text[literal[0] : literal[1]])
+            if weight + scores[literal] >= threshold:
+                out.add((*literal, "lexed"))
+                # what a reported literal holds is reported with it
+                floor = max(floor, end if literal == (start, end) else 0)
     return sorted(out)
 
 
