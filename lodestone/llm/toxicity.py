@@ -116,7 +116,7 @@ def train(rows: list, labels: list[int], rank: int = RANK, epochs: int = 12, rat
 
 def _bucket_batches(batches):
     for pdf in batches:
-        yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [np.array(buckets(t), "<i4").tobytes() for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [np.array(buckets(t), "<i4").tobytes() for t in pdf["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: i
     ``labels``: doc_id, toxic; null ids or labels are left out, of repeated ids
     the larger label holds.  ``use`` is a condition on doc_id that rows to learn
     from must meet.  If there are more labels than ``sample``, those with the
-    least hash of the id are taken.
+    least hash of the id are taken.  Of several texts of one doc_id the one whose
+    buckets come first in order teaches, so that no id can outgrow the sample.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if use is not None:
@@ -133,9 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: i
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` pairs of numbers: bounded by the parameter.
-    texts = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
-    got = texts.select("toxic", "text").mapInPandas(_bucket_batches, "toxic int, terms binary").collect()
-    got = sorted((bytes(r["terms"]), int(r["toxic"] > 0)) for r in got)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
+    seen = texts.select("doc_id", "toxic", "text").mapInPandas(_bucket_batches, "doc_id long, toxic int, terms binary")
+    got = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms"))
+    got = sorted((bytes(r["terms"]), int(r["toxic"] > 0)) for r in got.select("toxic", "terms").coalesce(4).toLocalIterator())
     return train([np.frombuffer(t, "<i4") for t, _ in got], [k for _, k in got])
 
 
