@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Symbols of training text for each language, at most.
 SAMPLE = 40_000
-#: Code points of one training row that are read, at most; predictions read all.
-ROW_CHARS = 4_000
+#: Code points of a passage: training texts are cut whole into passages, which are drawn.
+PASSAGE = 1_000
 #: Letters with a symbol of their own; rarer ones share one.
 LETTERS = 62
 #: Symbols of a block.
@@ -175,25 +175,31 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def collect_samples(docs: DataFrame, use: Column | None = None) -> dict[str, str]:
-    """Training text of each language: a bounded sample of labelled rows.
+    """Training text of each language: a bounded sample of labelled passages.
 
-    Rows with a null text, lang or doc_id teach nothing.  Of each language the
-    rows with the least hash of the id are taken, as many as hold about twice
-    ``SAMPLE`` symbols, each row up to ``ROW_CHARS`` code points; the text sent
-    to the driver is bounded by the number of languages.
+    Rows with a null text, lang or doc_id teach nothing.  Whole texts are cut
+    into passages of ``PASSAGE`` code points; of each language those with the
+    least hash of id, text and place are taken, as many as hold about twice
+    ``SAMPLE`` symbols, wherever in a text they lie.  Repeated rows count once.
+    The text sent to the driver is bounded by the number of languages.
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.col("lang") != UNKNOWN)
     if use is not None:
         rows = rows.where(use)
-    rows = rows.select("lang", F.substring("text", 1, ROW_CHARS).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), "doc_id")
+    rows = rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not chars:
         return {}
-    share = lambda n: min(1 << 30, int((1 << 30) * (2 * SAMPLE + 10 * ROW_CHARS) / max(1, n)))
+    share = lambda n: min(1 << 30, int((1 << 30) * (2 * SAMPLE + 40 * PASSAGE) / max(1, n)))
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(share(n))) for k, n in chars.items()])
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("limit", limit)
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PASSAGE).cast("int"))
+    draw = lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30))
+    drawn = rows.where("text <> ''").select("lang", "doc_id", "h", "text", F.explode(F.filter(places, lambda i: draw(i) < F.col("limit"))).alias("i"))
+    drawn = drawn.select("lang", draw(F.col("i")).alias("draw"), "doc_id", "i", F.substr("text", F.col("i") * PASSAGE + 1, F.lit(PASSAGE)).alias("text")).distinct()
     out: dict[str, list[str]] = {}
     room = dict.fromkeys(chars, 2 * SAMPLE)
-    for r in sorted(rows.where(F.col("draw") < limit).collect(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"])):
+    for r in sorted(drawn.collect()):
         if room[r["lang"]] > 0:
             out.setdefault(r["lang"], []).append(r["text"])
             room[r["lang"]] -= len(r["text"]) + 1
