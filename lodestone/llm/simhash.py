@@ -130,6 +130,13 @@ def fingerprint_links(reps: DataFrame, cell: int = CELL) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
+def _same_id_links(hashed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (u, v) from each doc_id of several fingerprints to the reps of these."""
+    several = hashed.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("doc_id IS NOT NULL AND a <> b").select("doc_id")
+    rows = hashed.join(several, "doc_id", "left_semi").distinct()
+    return rows.join(reps, "fp").where("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
 
@@ -143,7 +150,7 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """
     hashed = cut(fingerprints(docs))
     reps = cut(hashed.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(fingerprint_links(reps, cell))
+    parts = connected_components(fingerprint_links(reps, cell).unionByName(_same_id_links(hashed, reps)))
     named = (
         reps.join(parts, reps["rep"] == parts["node"], "left")
         .select(reps["fp"].alias("rep_fp"), F.coalesce(parts["component"], reps["rep"]).alias("component_id"))
