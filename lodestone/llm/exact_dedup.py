@@ -23,8 +23,8 @@ from lodestone.plans.lineage import cut
 
 #: Bytes of texts that are cut into segments together, and of segments merged together.
 TOGETHER, MERGED = 1 << 20, 1 << 19
-#: Stands for a null doc_id: after all others.
-_LAST = (1 << 63) - 1
+#: Documents without a doc_id are named from here on, by their texts: after all others.
+_UNNAMED = 1 << 62
 _BITS = LONGEST.bit_length()
 _WHOLE, _COMPARE = 0, 1
 
@@ -51,7 +51,7 @@ def _segment_batches(batches):
 def _runs(batches):
     """Rows sorted by key, content, n2, doc, start: what to remove, what to compare."""
     held = None  # the last first-of-its-content, as (key, n2, doc, start), and whether its key has others
-    last = None  # the last row and the place of the first of its content
+    last = None  # the last row's key, content and n2, the place of the first of its content, and its own
     for pdf in batches:
         if not len(pdf):
             continue
@@ -65,7 +65,10 @@ def _runs(batches):
         head = np.maximum.accumulate(head)
         first_doc = np.where(head >= 0, doc[head], last[3] if last else 0)
         first_start = np.where(head >= 0, start[head], last[4] if last else 0)
-        copy = same & ((doc != first_doc) | (start != first_start))
+        again = same.copy()  # a repeated row's segment, given once
+        again[1:] &= (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+        again[0] &= last is not None and last[5:] == (doc[0], start[0])
+        copy = same & ~again & ((doc != first_doc) | (start != first_start))
         out = [pd.DataFrame({"kind": _WHOLE, "key": key[copy], "doc": doc[copy], "start": start[copy], "n": n2[copy] >> 1})]
         at = np.flatnonzero(~same)
         if len(at):
@@ -83,7 +86,7 @@ def _runs(batches):
             out.append(pd.DataFrame({"kind": _COMPARE, "key": key[sure], "doc": doc[sure], "start": start[sure], "n": n2[sure] >> 1}))
             i = at[-1]
             held = ((key[i], n2[i], doc[i], start[i]), bool(other[-1]))
-        last = (key[-1], content[-1], n2[-1], first_doc[-1], first_start[-1])
+        last = (key[-1], content[-1], n2[-1], first_doc[-1], first_start[-1], doc[-1], start[-1])
         yield pd.concat(out, ignore_index=True)
     if held is not None and held[1]:
         yield _row(held[0])
@@ -143,10 +146,16 @@ def _compare(batches):
         return pd.DataFrame({"doc": np.array(docs, np.int64), "packed": np.array(packed, np.int64)})
 
     rest: list[pd.DataFrame] = []
-    size = 0
+    size, prior = 0, None
     for pdf in batches:
         for a in range(0, len(pdf), 1000):
-            rest.append(pdf.iloc[a : a + 1000])
+            # repeated rows of a document bring equal pieces side by side, which count once
+            some = pd.concat([prior, pdf.iloc[a : a + 1000]])
+            fresh = ~some.duplicated().to_numpy()
+            if prior is not None:
+                fresh[0] = False
+            prior = some.iloc[-1:]
+            rest.append(some[fresh])
             size += int((rest[-1]["n"] + WIDTH - 1).sum())
             if size < MERGED:
                 continue
@@ -201,12 +210,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Each byte is removed that some 100-byte string covers which also starts
     earlier: in a smaller doc_id or before in the same document.  Null texts
     count as empty.  doc_id names a document: repeated rows are one document and
-    each give the same result, and null ids come after all others as one
-    document.  ``with_text`` adds what is left, without characters that were cut
+    each give the same result.  Rows with a null id come after all others, in the
+    order of a hash of their texts; those with equal texts are one document.  ``with_text`` adds what is left, without characters that were cut
     in two; null texts stay null.  An empty table gives an empty result; other
     columns are not read.
     """
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    unnamed = F.lit(_UNNAMED) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(_UNNAMED))
+    place = F.coalesce(F.col("doc_id").cast("long"), unnamed)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("doc"), F.col("text").cast("string").alias("text"))
     rows = texts.select("doc", "text").mapInPandas(_segment_batches, "key long, content long, n2 long, doc long, start long")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "content", "n2", "doc", "start")
@@ -215,7 +225,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     wanted = found.where(F.col("kind") == _COMPARE).groupBy("doc").agg(F.collect_list(F.struct("key", packed.alias("packed"))).alias("x"))
     wanted = wanted.select("doc", F.col("x.key").alias("keys"), F.col("x.packed").alias("packed"))
     fetched = texts.join(wanted, "doc", "left").select("doc", "text", "keys", "packed").mapInPandas(_fetch, "key long, doc long, start long, n int, piece binary")
-    compared = fetched.repartition("key").sortWithinPartitions("key", "doc", "start").mapInPandas(_compare, "doc long, packed long")
+    compared = fetched.repartition("key").sortWithinPartitions("key", "doc", "start", "piece").mapInPandas(_compare, "doc long, packed long")
     whole = found.where(F.col("kind") == _WHOLE).select("doc", packed.alias("packed"))
     spans = whole.unionByName(compared).groupBy("doc").agg(F.collect_list("packed").alias("packed"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
