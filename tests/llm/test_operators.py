@@ -99,6 +99,12 @@ def test_secrets():
     assert secrets.spans(None) == [] and secrets.redact(None) is None
 
 
+def test_secret_chains_take_no_more_than_their_length():
+    chain = "".join(f"k{i % 7}:v{i}=" for i in range(60_000))
+    assert secrets.lexed_spans(chain + "; db_password = zq81kk0vvTx") == [(len(chain) + 16, len(chain) + 27, "lexed")]
+    assert {(a, b) for a, b, k in secrets.lexed_spans("db_pwd=auth=q7Rt99xWv2")} == {(7, 22)}
+
+
 def test_secret_scan_digest(spark, sf, real):
     got = rows(QUERIES["op2_secret_scans"](spark, sf))
     patterns = {"access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
@@ -131,6 +137,20 @@ def test_toxicity_held_out(spark, sf):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] for r in got.collect())
 
 
+def test_toxicity_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 3, "vile slur" if i % 3 == 0 else "kind word") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (0, 0)], "doc_id long, toxic int")
+    once, often = (toxicity.fit(d, labels) for d in (docs.distinct(), docs))
+    assert once.bias == often.bias and once.rows == often.rows
+
+
+def test_language_samples_come_from_whole_texts(spark):
+    late = "x" * 9_000 + "y" * 9_000
+    docs = spark.createDataFrame([(1, late, "a"), (1, late, "a"), (2, "zz", "a"), (3, None, "a"), (4, "", "b"), (None, "q", "b")], "doc_id long, text string, lang string")
+    got = langid.collect_samples(docs)
+    assert list(got) == ["a"] and sorted(got["a"].replace("\n", "")) == sorted(late + "zz")
+
+
 def test_language_parse_against_the_plain_one():
     samples = {"x": "abracadabra alakazam", "y": "hocus pocus fidibus"}
     parser = langid.Parser(samples)
@@ -208,6 +228,12 @@ def test_simhash(spark, sf, real):
         assert (got[doc_id]["fingerprint"], got[doc_id]["component_id"]) == (f"{p:016x}", real[r][0])
 
 
+def test_simhash_takes_rows_of_one_id_as_one_node(spark):
+    docs = [(3, LONG), (5, LONG), (5, "one two three four"), (7, "one two three four"), (9, "five six seven"), (None, "five six seven")]
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 9), (3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+
+
 @pytest.mark.parametrize("cell", [1, 4, 32])
 def test_simhash_crowded_cells_lose_no_link(spark, cell):
     rng = np.random.default_rng(3)
@@ -266,6 +292,15 @@ def test_repeats_of_awkward_texts(spark):
         assert tuple(got[doc_id])[1:] == want, doc_id
 
 
+def test_repeats_of_unnamed_and_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    one, two, three = ("".join(rng.choice(list("abcdefgh"), 400)) for _ in range(3))
+    docs = [(1, one)] * 40 + [(2, three + one[:200])] * 30 + [(None, two), (None, two), (None, three), (None, one[100:300])]
+    got = exact_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got)
+    assert found == [(0, 200, 200, 1), (0, 400, 0, 0), (0, 400, 0, 0), (0, 400, 400, 1)] + [(1, 400, 0, 0)] * 40 + [(2, 600, 200, 1)] * 30
+
+
 def test_mixing_meets_its_targets(spark, sf):
     got = QUERIES["op9_mixing"](spark, sf).collect()
     total = sum(r["n_tokens"] * r["rate"] for r in got)
