@@ -1,8 +1,8 @@
 """Mixing documents to domain targets with soft memberships.
 
 A classifier learned from a labelled table gives every document a posterior over
-the domains; projected-gradient least squares then finds a nonnegative rate for
-each document such that the expected tokens of each domain, summed over all
+the domains; projected-gradient least squares then finds a rate for
+each document (at least 1, or at least 0 for a given total) such that the expected tokens of each domain, summed over all
 documents with posterior times rate, meet the targets.  All of it is DataFrame
 code: counts and sums are partial aggregates, the learned table has a fixed
 number of buckets, and the only values that reach the driver are one sum for
@@ -28,6 +28,8 @@ SMOOTHING = 0.5
 EVIDENCE = 40
 #: Iterations at most, and the largest relative miss of a target to stop at.
 ROUNDS, TOLERANCE = 60, 1e-6
+#: Without a given total, the total grows while a round leaves less than this part of the miss.
+GAIN = 0.95
 #: A domain with less than this share of all expected tokens counts as absent.
 LEAST_SHARE = 1e-6
 #: Shares of the token total that the registered query and the pipeline aim at.
@@ -80,9 +82,11 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
     """doc_id, n_tokens (words), rate and the posterior of each domain.
 
     ``targets``: weight of each domain; they are scaled to sum to one over the
-    domains that any document belongs to.  ``total``: tokens to aim at; by
-    default the least for which no domain must give up expected tokens, so that
-    mixing repeats documents and loses none.  Rows of one doc_id are one
+    domains that any document belongs to.  ``total``: tokens to aim at; documents
+    may then be thinned out.  Without it no rate is less than 1, so that mixing
+    repeats documents and loses none; the total starts as the least for which no
+    domain must give up expected tokens and grows by what documents of several
+    domains, raised for one of them, add to the others.  Rows of one doc_id are one
     document (null ids too) and get one row.  Documents without a word get
     n_tokens 0, rate 1 and null posteriors.  An empty table gives an empty result.
     """
@@ -98,14 +102,19 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
     weight = sum(targets[domains[i]] for i in here)
     aim = {i: targets[domains[i]] / weight for i in here}
     size = total / n if total is not None and n else max((share[i] / aim[i] for i in here), default=1.0)
-    rate = F.lit(1.0)
+    rate, least, growing, missed = F.lit(1.0), float(total is None), total is None, float("inf")
     for _ in range(rounds if here else 0):
         now = _sums(members, rate, k)[1:]
+        if growing:  # no domain is over its target, so that all rates only rise
+            size = max(size, max(now[i] / n / aim[i] for i in here))
         off = {i: (now[i] / n - aim[i] * size) / share[i] for i in here}
-        if max(abs(o) * share[i] / (aim[i] * size) for i, o in off.items()) <= tolerance:
+        miss = max(abs(o) * share[i] / (aim[i] * size) for i, o in off.items())
+        if miss <= tolerance:
             break
+        # Targets that no rates reach would let the total grow without end.
+        growing, missed = growing and miss < GAIN * missed, miss
         # Rows are weighted by 1 / share and rates by tokens; the step of one is then safe.
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(o) for i, o in off.items()), F.lit(0.0)))
+        rate = F.greatest(F.lit(least), rate - sum((F.col(f"p{i}") * F.lit(o) for i, o in off.items()), F.lit(0.0)))
     rated = members.select("doc_id", "n_tokens", rate.alias("rate"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)])
     ids = docs.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
     joined = ids.join(rated, F.col("id").eqNullSafe(F.col("doc_id")), "left")

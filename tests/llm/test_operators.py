@@ -309,6 +309,21 @@ def test_mixing_meets_its_targets(spark, sf):
     assert all(r["rate"] >= 0 and r["copies"] in (int(r["rate"] + 1e-3), int(r["rate"]) + 1) for r in got)
 
 
+def test_mixing_drops_no_document_for_soft_ones(spark):
+    pure = [(i, f"the and of with house{i % 7}", "en") for i in range(400)] + [(400 + i, f"le la et avec maison{i % 7}", "fr") for i in range(40)]
+    soft = [(500 + i, "the la of avec" if i % 3 else "the et", "fr" if i % 2 else "en") for i in range(80)]
+    docs = spark.createDataFrame(pure + soft, "doc_id long, text string, lang string")
+    labelled = docs.select("text", F.col("lang").alias("domain"))
+    got = mixing.document_rates(docs, labelled, {"en": 0.6, "fr": 0.4}).withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id"))).collect()
+    assert len(got) == 520 and min(r["rate"] for r in got) >= 1 and min(r["copies"] for r in got) >= 1
+    total = sum(r["n_tokens"] * r["rate"] for r in got)
+    assert sum(r["n_tokens"] * r["rate"] * r["p_en"] for r in got) / total == pytest.approx(0.6, abs=1e-3)
+    # equal documents leave no choice: the total must not run away
+    same = spark.createDataFrame([(i, "the la", "en" if i % 3 else "fr") for i in range(30)], "doc_id long, text string, lang string")
+    rates = [r["rate"] for r in mixing.document_rates(same, same.select("text", F.col("lang").alias("domain")), {"en": 0.2, "fr": 0.8}).collect()]
+    assert min(rates) >= 1 and max(rates) < 20
+
+
 def test_packing(spark, sf, real):
     got = QUERIES["op10_packing"](spark, sf).collect()
     encoder = packing.Encoder(tokenizer_path())
