@@ -1,6 +1,6 @@
 """Exact top-k search by inner product in M-trees.
 
-Vectors are dealt by the hash of their id to shards of a bounded size.  A task
+Vectors are dealt by the hash of their id and components to shards of a bounded size.  A task
 holds the M-tree of one shard at a time: pages of at most ``PAGE`` entries, an
 inner entry with its routing object, covering radius and the distance to its
 parent's routing object, a leaf entry with that distance.  Queries stream
@@ -52,6 +52,7 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
         self.ids, self.vectors, self.page = ids, vectors, page
+        self.repeated = len(np.unique(ids)) < len(ids)
         squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
         self.length2 = float(squares.max(initial=0.0))
         largest = float(np.abs(vectors.astype(np.float64)).max(initial=0.0))
@@ -87,7 +88,10 @@ class MTree:
         return _Page(centre, float(far.max()), np.sqrt(((centres - centre) ** 2).sum(axis=1)), children=children, centres=centres, radii=np.array([c.radius for c in children]))
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best by falling score, ties by smaller id, without ``own``."""
+        """(score, id) of the k best ids by falling score, ties by smaller id, without ``own``.
+
+        An id counts with the best score of its vectors.
+        """
         q = np.append(query.astype(np.float64), 0.0)
         base = float(q @ q) + self.length2
         small = self.largest * float(np.abs(q).max(initial=0.0)) * len(q) < _EXACT
@@ -122,7 +126,10 @@ class MTree:
             else:
                 found = self.vectors[rows].astype(object) @ scored_q
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, found])
-            best = np.lexsort((ids, -scores))[:k] if small else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k])
+            best = np.lexsort((ids, -scores)) if small else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])))
+            if self.repeated:  # an id's first row is its best
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+            best = best[:k]
             ids, scores = ids[best], scores[best]
             if len(scores) == k:
                 limit = float(scores[-1])
@@ -184,7 +191,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, scale: float = SC
     vectors = quantised(embeddings, scale)
     n = vectors.count()
     shards = max(1, -(-n // shard))
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
     asked = vectors.where(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
     rows = dealt.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "vec_id")
     found = rows.mapInPandas(_searcher(k, page), "query_id long, vec_id long, score long")

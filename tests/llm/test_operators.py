@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -190,6 +191,19 @@ def test_m_tree_with_ties():
         assert tree.search(v[q], q, 20) == [(-s, i) for s, i in want]
 
 
+@pytest.mark.parametrize("shard", [10, 4096])
+def test_top_k_of_ids_with_several_vectors(spark, tmp_path, shard):
+    rng = np.random.default_rng(6)
+    ids = [0] * 3 + [20] * 2 + [7] * 60 + [int(i) for i in rng.integers(1, 60, 115)]
+    near = [[float(x) for x in (rng.integers(40, 60, 4) if i == 7 else rng.integers(-40, 40, 4))] for i in ids]
+    e = spark.createDataFrame(list(zip(ids, near, strict=True)), "vec_id long, embedding array<double>")
+    e.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    got = topk.top_k(e, F.col("vec_id") % 20 == 0, shard=shard, page=8).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["op6_exact_topk"]).fetchall())
+
+
 def test_top_k_leaves_out_bad_vectors(spark):
     e = spark.createDataFrame([(0, [1.0, 2.0]), (1, [float("nan"), 1.0]), (2, None), (3, [1.0, None]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(e, F.col("vec_id") % 20 == 0).collect()}
