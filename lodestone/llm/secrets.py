@@ -3,7 +3,7 @@
 The plain patterns find values behind a few fixed names, access key ids and long
 hexadecimal runs.  The lexer reads source and configuration syntax as pairs of a
 name and a literal or another name (``name = "literal"``, ``name: literal``,
-``name => 'literal'``, ``"name": "literal"``), propagates constants (a literal
+``name => 'literal'``, ``"name": "literal"``, ``name: Type = b"literal"``), propagates constants (a literal
 bound to a harmless name counts when that name is later assigned to a sensitive
 one, through any number of names), and scores each literal by the name it
 reaches and by its own shape.
@@ -43,7 +43,12 @@ _NAME_WEIGHTS = {
 _HARMLESS = {"id", "name", "url", "uri", "path", "file", "length", "len", "size", "count", "type", "field", "label", "hint", "policy", "expiry", "ttl"}
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|changeme|change_me|example|placeholder|your[_-].*|none|null|true|false|todo|redacted)$", re.IGNORECASE)
 _OPERATOR = re.compile(r"=>|:=|[:=]")
-_QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'')
+#: What may stand before the quote of a literal: a string prefix, two of three quotes.
+_PREFIX = re.compile(r"""(?:[bBrRuUfFlLnN]{1,3}8?|[@$]{1,2}|b?r\#{1,8})?(?:""(?=")|''(?='))?(?=["'`])""")
+_QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`')
+#: A type annotation without what stands in its brackets.
+_TYPE = re.compile(r"[ \t]*(?:[&*?]|'\w+[ \t]+|(?:mut|dyn|const|readonly)[ \t]+)*[A-Za-z_][\w.:]*[?!*]?(?:[ \t]*[|&][ \t]*[A-Za-z_][\w.:]*[?!*]?)*[ \t]*")
+_BEFORE_TYPE = re.compile(r"\b(?:var|const)[ \t]+([A-Za-z_]\w*)[ \t]+[*\[\]\w.]+[ \t]*\Z")
 _BARE = re.compile(r"[^\s,;()\[\]{}\"'<>&|#`]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -67,7 +72,9 @@ def _name_before(text: str, at: int, floor: int) -> str:
     end = at
     while end > floor and text[end - 1] in " \t":
         end -= 1
-    if end > floor and text[end - 1] in "\"'":
+    if end > floor and text[end - 1] in "\"'`":
+        end -= 1
+    elif end > floor and text[end - 1] == "?" and text[at] == ":":  # an optional member
         end -= 1
     start = end
     while start > floor and text[start - 1] in _NAME_CHARS:
@@ -75,36 +82,65 @@ def _name_before(text: str, at: int, floor: int) -> str:
     return text[start:end].strip(".-")
 
 
+def _is_type(text: str) -> bool:
+    """Whether all of a text is a type annotation, with any types in brackets."""
+    depth, outer = 0, []
+    for c in text:
+        if c in "\n;":
+            return False
+        if c in "<[(":
+            depth += 1
+        elif c in ">])":
+            depth -= 1
+            if depth < 0:
+                return False
+        elif not depth:
+            outer.append(c)
+    return not depth and _TYPE.fullmatch("".join(outer)) is not None
+
+
 def pairs(text: str) -> list[tuple[str, int, int, bool]]:
     """(name, start, end, quoted) of each assignment; spans are the literal's own.
 
-    ``==``, ``!=``, ``<=``, ``>=``, ``::`` and ``://`` assign nothing.  A bare
-    value may hold further assignments (``a=b=c``); values are given by their
+    ``==``, ``!=``, ``<=``, ``>=``, ``::`` and ``://`` assign nothing.  A literal
+    behind a type annotation (``name: Type = literal``, ``var name type = literal``)
+    is given for the name too, and spans leave out string prefixes.  A bare value may hold further assignments (``a=b=c``); values are given by their
     places only, so that a long chain of them takes no more than its length.
     """
     out, floor, run, end = [], 0, 0, 0  # run, end: where the bare run that was read last ends, and the value in it
+    typed = ("", 0)  # the last name before a colon, and where its type may begin
     for op in _OPERATOR.finditer(text):
         a, b = op.span()
         if a < floor:
             continue
         after, before = text[b : b + 1], text[a - 1 : a]
-        if after in ("=", ":", "/") or before in ("=", "!", "<", ">", ":") and before:
+        if after in ("=", ":") or op.group() == ":" and text.startswith("//", b) or before in ("=", "!", "<", ">", ":") and before:
             continue
-        name = _name_before(text, a, floor)
-        if not name or not (name[0].isalpha() or name[0] == "_"):
+        names = [_name_before(text, a, floor)]
+        if op.group() == ":":
+            typed = (names[0], b)
+        elif op.group() != "=>":
+            if typed[0] and _is_type(text[typed[1] : a]):
+                names.append(typed[0])
+            elif names[0] and (m := _BEFORE_TYPE.search(text, max(floor, a - 128), a)):
+                names.append(m.group(1))
+            typed = ("", 0)
+        names = [n for n in names if n and (n[0].isalpha() or n[0] == "_")]
+        if not names:
             continue
         at = b
         while text[at : at + 1] in (" ", "\t"):
             at += 1
-        if m := _QUOTED.match(text, at):
-            k = 1 if m.group(1) is not None else 2
-            out.append((name, m.start(k), m.end(k), True))
+        if m := _QUOTED.match(text, p.end() if (p := _PREFIX.match(text, at)) else at):
+            k = m.lastindex
+            out += [(n, m.start(k), m.end(k), True) for n in names]
             floor = m.end()
+            typed = ("", 0)
             continue
         if at >= run and (m := _BARE.match(text, at)):
             run, end = m.end(), at + len(m.group().rstrip(".!?:"))
         if end > at:
-            out.append((name, at, end, False))
+            out += [(n, at, end, False) for n in names]
             floor = b
     return out
 

@@ -106,6 +106,26 @@ def test_secret_chains_take_no_more_than_their_length():
     assert {(a, b) for a, b, k in secrets.lexed_spans("db_pwd=auth=q7Rt99xWv2")} == {(7, 22)}
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("DB_PWD=/q8Zt5Rw2Lk9Vx3Nm", "/q8Zt5Rw2Lk9Vx3Nm"), ("AWS_SECRET_ACCESS_KEY=/wJalrXUtnFEMI7K", "/wJalrXUtnFEMI7K"), ("db_pwd: /q8Zt5Rw2Lk9Vx3Nm", "/q8Zt5Rw2Lk9Vx3Nm"),
+        *[(f'SIGNING_KEY = {p}"q8Zt5Rw2Lk9Vx3Nm"', "q8Zt5Rw2Lk9Vx3Nm") for p in ("b", "r", "f", "Rb", "@", "$@", "r#", '""')],
+        ("const dbPwd = `q8Zt5Rw2Lk9Vx3Nm`;", "q8Zt5Rw2Lk9Vx3Nm"), ('val dbPwd: String = "q8Zt5Rw2Lk9Vx3Nm"', "q8Zt5Rw2Lk9Vx3Nm"),
+        ('signing_key: Optional[Dict[str, List[str]]] = "q8Zt5Rw2Lk9Vx3Nm"', "q8Zt5Rw2Lk9Vx3Nm"), ("dbPwd?: string | null = 'q8Zt5Rw2Lk9Vx3Nm'", "q8Zt5Rw2Lk9Vx3Nm"),
+        ("const DB_PWD: &'static str = \"q8Zt5Rw2Lk9Vx3Nm\";", "q8Zt5Rw2Lk9Vx3Nm"), ('var dbPwd string = "q8Zt5Rw2Lk9Vx3Nm"', "q8Zt5Rw2Lk9Vx3Nm"),
+    ],
+)
+def test_secrets_of_common_assignments(text, value):
+    assert [text[a:b] for a, b, k in secrets.lexed_spans(text)] == [value]
+    assert value not in secrets.redact(text)
+
+
+def test_secret_lexer_takes_no_addresses_and_types():
+    for text in ("auth_token://host9/Path8Xy2", "password: str = None", "db_pwd: String\nlabel = 'q8Zt5Rw2Lk9Vx3Nm'", "db_pwd: see; label = 'q8Zt5Rw2Lk9Vx3Nm'"):
+        assert secrets.lexed_spans(text) == []
+
+
 def test_secret_scan_digest(spark, sf, real):
     got = rows(QUERIES["op2_secret_scans"](spark, sf))
     patterns = {"access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
