@@ -90,10 +90,11 @@ def candidate_pairs(left: DataFrame, right: DataFrame, specs: Sequence[PairSpec]
     """(idx1, idx2) of two tables with ``__idx`` and cleaned columns.
 
     A left row that meets no block is paired with every right row if there are at
-    most ``fallback_rows`` of them, and with none otherwise.
+    most ``fallback_rows`` of them, and with none otherwise.  Without blocking all
+    rows are paired, however many there are.
     """
     if not settings.use_blocking:
-        return _all_pairs(left.select("__idx"), right, settings, settings.fallback_rows)
+        return _all_pairs(left.select("__idx"), right, settings, None)
     right_keys = cap_blocks(key_table(right, [s.right for s in specs], settings.blocking_strategies), settings.max_block_size, settings.skip_high_cardinality)
     left_keys = key_table(left, [s.left for s in specs], settings.blocking_strategies)
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("grp"))
@@ -101,15 +102,21 @@ def candidate_pairs(left: DataFrame, right: DataFrame, specs: Sequence[PairSpec]
     pairs = met.groupBy("idx1", "idx2").agg(F.min(tier).alias("tier")) if settings.max_candidates else met.select("idx1", "idx2").distinct()
     limited = _limited(pairs, settings)
     alone = left.select("__idx").join(pairs.select(F.col("idx1").alias("__idx")).distinct(), "__idx", "left_anti")
-    return limited.unionByName(_all_pairs(alone, right, settings, settings.fallback_rows))
+    return limited.unionByName(_all_pairs(alone, right, settings, settings.match_fallback()))
 
 
-def _all_pairs(left: DataFrame, right: DataFrame, settings: Settings, most: int) -> DataFrame:
-    """Each left row with every right row, if these are at most ``most``: their number is checked."""
-    few = right.select(F.col("__idx").alias("idx2")).limit(most + 1)
-    if few.count() > most:
-        return left.select(F.col("__idx").alias("idx1"), F.lit(0).cast("long").alias("idx2")).where(F.lit(False))
-    pairs = left.select(F.col("__idx").alias("idx1")).join(F.broadcast(few))
+def _all_pairs(left: DataFrame, right: DataFrame, settings: Settings, most: int | None) -> DataFrame:
+    """Each left row with every right row, if these are at most ``most``: their number is checked.
+
+    Without ``most`` partitions meet partitions, so that no table need fit in a task.
+    """
+    few = right.select(F.col("__idx").alias("idx2"))
+    if most is not None:
+        few = few.limit(most + 1)
+        if few.count() > most:
+            return left.select(F.col("__idx").alias("idx1"), F.lit(0).cast("long").alias("idx2")).where(F.lit(False))
+        few = F.broadcast(few)
+    pairs = left.select(F.col("__idx").alias("idx1")).crossJoin(few)
     if settings.max_candidates is None:
         return pairs
     order = Window.partitionBy("idx1").orderBy("idx2")
@@ -120,11 +127,12 @@ def self_pairs(df: DataFrame, specs: Sequence[PairSpec], settings: Settings) ->
     """(idx1, idx2) with idx1 < idx2 within one table.
 
     Rows that meet no later row in any block are compared with all later rows, as
-    all rows are without blocking; ``fallback_rows`` bounds that as above.
+    all rows are without blocking.  ``fallback_rows``, if given, bounds the former
+    as above.
     """
     ids = df.select("__idx")
     if not settings.use_blocking:
-        return _all_pairs(ids, ids, settings, settings.fallback_rows).where("idx1 < idx2")
+        return _all_pairs(ids, ids, settings, None).where("idx1 < idx2")
     keys = cap_blocks(key_table(df, [s.left for s in specs], settings.blocking_strategies), settings.max_block_size, settings.skip_high_cardinality)
     met = keys.withColumnRenamed("__idx", "idx1").join(keys.withColumnRenamed("__idx", "idx2"), ["pair", "grp", "frag"]).where("idx1 < idx2")
     pairs = met.select("idx1", "idx2").distinct()

@@ -46,8 +46,8 @@ def search(record: Mapping, master: DataFrame, columns: Sequence[Mapping] | None
             meets = meets | F.coalesce(F.arrays_overlap(own, blocking_keys(asked(s), strategies)), F.lit(False))
         rows = master.where(meets)
         if rows.limit(1).count() == 0:
-            few = master.limit(settings.fallback_rows + 1)
-            rows = master if few.count() <= settings.fallback_rows else master.limit(0)
+            few = master.limit(settings.match_fallback() + 1)
+            rows = master if few.count() <= settings.match_fallback() else master.limit(0)
     names = score_names(specs)
     scores = [similarity(s.how, normalize(s.type, asked(s)), normalize(s.type, F.col(f"`{s.right}`"))) for s in specs]
     scored = rows.withColumns(dict(zip(names, scores, strict=True))).withColumn("overall_score", weighted_mean([F.col(n) for n in names], specs))

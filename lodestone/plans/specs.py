@@ -37,6 +37,10 @@ class PairSpec:
         return self.algorithm or ALGORITHM_OF.get(self.type, "levenshtein")
 
 
+#: A row that meets no block is matched with all rows if there are at most so many.
+FALLBACK_ROWS = 10_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Knobs of matching and clustering with their defaults."""
@@ -52,7 +56,7 @@ class Settings:
     skip_high_cardinality: bool = True
     max_candidates: int | None = None
     candidate_trim_strategy: str = "truncate"
-    fallback_rows: int = 10_000
+    fallback_rows: int | None = None  #: Without it FALLBACK_ROWS in matching and search, no bound in clustering.
     extra: Mapping = field(default_factory=dict, compare=False, hash=False)
 
     @classmethod
@@ -63,6 +67,9 @@ class Settings:
             known["blocking_strategies"] = tuple(known["blocking_strategies"])
         return cls(**known, extra=section)
 
+    def match_fallback(self) -> int:
+        return FALLBACK_ROWS if self.fallback_rows is None else self.fallback_rows
+
     def bounds(self) -> tuple[float, float]:
         """Scores from the second on are accepted, those up to the first rejected."""
         return self.threshold - self.undecided_range, self.threshold + self.undecided_range

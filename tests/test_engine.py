@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 import lodestone as L
 from lodestone.cli import main
+from lodestone.operators.blocking import candidate_pairs, self_pairs
 from lodestone.operators.components import connected_components
 from lodestone.operators.evaluate import coverage, false_positive_rate
 from lodestone.plans.config import check_config, validate_config
 from lodestone.plans.jobs import JobQueue, JobStore
 from lodestone.plans.profile import detect_type
-from lodestone.plans.specs import map_query
+from lodestone.plans.specs import PairSpec, Settings, map_query
 from lodestone.sources.loaders import load_source, with_index
 from lodestone.sources.sinks import summary_report, write_results
 
@@ -54,6 +55,19 @@ def test_clusters(spark):
     assert "Total Clusters: 3" in report and "Duplicate Records: 3" in report
 
 
+def test_unblocked_rows_meet_all_rows_of_a_large_table(spark):
+    n = 10_001
+    df = spark.range(n).select(F.col("id").alias("__idx"), F.lit("").alias("name"))
+    specs = [PairSpec("name", "name", "string_name", "string_name")]
+    for settings in (Settings(use_blocking=False), Settings(use_blocking=False, fallback_rows=0), Settings()):
+        assert self_pairs(df, specs, settings).agg(F.count(F.lit(1)), F.sum("idx1")).first()[0] == n * (n - 1) // 2
+    assert candidate_pairs(df.limit(2), df, specs, Settings(use_blocking=False)).count() == 2 * n
+    # in blocked matching the bound of the reference stays
+    assert candidate_pairs(df.limit(2), df, specs, Settings()).count() == 0
+    assert candidate_pairs(df.limit(2), df.limit(n - 1), specs, Settings()).count() == 2 * (n - 1)
+    assert self_pairs(df, specs, Settings(fallback_rows=0)).count() == 0
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = spark.range(999).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
     star = spark.range(2001, 2300).select(F.lit(2000).cast("long").alias("u"), F.col("id").alias("v"))
