@@ -200,18 +200,91 @@ def test_language_held_out(spark, sf):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
 
 
+def plain_best(v, ids, q, k=20):
+    """(id, score) of the k best ids of row q of v, one score an id."""
+    best = {}
+    for i, s in zip(ids, v.astype(object) @ v[q].astype(object), strict=True):
+        if i != ids[q]:
+            best[int(i)] = max(best.get(int(i), s), s)
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def of_query(found, i):
+    q, ids, scores = found
+    return [(int(a), int(b)) for a, b in zip(ids[q == i], scores[q == i], strict=True)]
+
+
 def test_m_tree_with_ties():
     rng = np.random.default_rng(1)
     v = rng.integers(-20, 20, (400, 6))
     v[100:300] = v[0]
     tree = topk.MTree(np.arange(400), v, page=8)
-    for q in range(0, 400, 17):
-        score = v @ v[q]
-        want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:20]
-        assert tree.search(v[q], q, 20) == [(-s, i) for s, i in want]
+    some = np.arange(0, 400, 17)
+    found = tree.search(v[some], some, 20)
+    for i, q in enumerate(some):
+        assert of_query(found, i) == plain_best(v, np.arange(400), q)
 
 
-@pytest.mark.parametrize("shard", [10, 4096])
+def test_m_tree_takes_a_bound_from_elsewhere():
+    rng = np.random.default_rng(2)
+    v = rng.integers(-20, 20, (500, 5))
+    tree = topk.MTree(np.arange(500), v, page=16)
+    want = [plain_best(v, np.arange(500), q) for q in range(30)]
+    limits = np.array([w[7][1] for w in want], float)
+    found = tree.search(v[:30], np.arange(30), 20, limits)
+    for i, w in enumerate(want):
+        assert [x for x in of_query(found, i) if x[1] >= limits[i]] == [x for x in w if x[1] >= limits[i]]
+
+
+def test_m_tree_scores_few_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (40, 16))
+    v = np.floor(64 * (np.repeat(centres, 100, axis=0) + rng.normal(0, 0.02, (4000, 16))))
+    v = np.floor(64 * 10 * v / np.linalg.norm(v, axis=1)[:, None])
+    tree = topk.MTree(np.arange(4000), v, page=64)
+    some = np.arange(0, 4000, 50)
+    found = tree.search(v[some], some, 20)
+    assert all(of_query(found, i) == plain_best(v, np.arange(4000), q) for i, q in enumerate(some))
+    assert tree.scored < 0.25 * len(some) * len(v)
+
+
+@pytest.mark.parametrize("shard", [16, 8192])
+def test_top_k_of_large_components(spark, shard):
+    far = [[1e12, 2.0], [1e300, 2.0], [-1e300, 0.0], [3e9, 5.0], [1.0, 1.0], [2.0**52, 1.0]] + [[float(i), 3e10] for i in range(40)]
+    e = spark.createDataFrame(list(enumerate(far)), "vec_id long, embedding array<double>")
+    v = np.array([[int(64 * x) for x in r] for r in far], object)
+    clip = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    want = set()
+    for q in (0, 20, 40):
+        found = sorted(((clip(sum(a * b for a, b in zip(v[q], v[i], strict=True))), -i) for i in range(len(v)) if i != q), reverse=True)
+        want |= {(q, r + 1, -i, s) for r, (s, i) in enumerate(found[:20])}
+    assert {tuple(r) for r in topk.top_k(e, F.col("vec_id") % 20 == 0, shard=shard, page=4).collect()} == want
+
+
+def test_top_k_visits_few_shards_of_clustered_vectors(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 1, (12, 8))
+    v = np.repeat(centres, 60, axis=0) + rng.normal(0, 0.01, (720, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = np.floor(64 * v)
+    got = {}
+    for r in topk.top_k(e, F.col("vec_id") % 20 == 0, shard=60, group=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 720, 20):
+        assert sorted(got[q]) == [(k + 1, i, s) for k, (i, s) in enumerate(plain_best(whole, np.arange(720), q))]
+    metric = topk.Metric.of(whole)
+    points = metric.points(whole)
+    routing = points[topk.spread(points, 12)]
+    d = topk.distances(points, routing)
+    radii = np.array([d[d.argmin(axis=1) == p, p].max() for p in range(12)])
+    asks = np.arange(0, 720, 20)
+    frame = __import__("pandas").DataFrame({"vec_id": asks, "v": [whole[q] for q in asks], "h": asks, "floor": [float(plain_best(whole, np.arange(720), q)[-1][1]) for q in asks]})
+    visits = sum(map(len, topk._router(metric, routing, radii, np.arange(12), np.ones(12, int), False)(iter([frame]))))
+    assert visits < 0.3 * len(asks) * 11
+
+
+@pytest.mark.parametrize("shard", [10, 8192])
 def test_top_k_of_ids_with_several_vectors(spark, tmp_path, shard):
     rng = np.random.default_rng(6)
     ids = [0] * 3 + [20] * 2 + [7] * 60 + [int(i) for i in rng.integers(1, 60, 115)]
