@@ -53,19 +53,24 @@ def _symbols(c: Collection, places: np.ndarray, owner: np.ndarray) -> np.ndarray
     return rank.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
 
 
-def _shard_order(symbol: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Suffixes of a shard in order.  ``after``: the suffix that follows a symbol, -1 at the end."""
+def _shard_order(symbol: np.ndarray, after: np.ndarray, width: int) -> np.ndarray:
+    """Suffixes of a shard in the order of their first ``width`` bytes at least.
+
+    ``after``: the suffix that follows a symbol, -1 at the end.  Suffixes that are
+    equal so far may stand in any order: the merge asks no more of them.
+    """
     rank = symbol.astype(np.int64)
-    n = len(rank)
+    n, depth = len(rank), SYMBOL
     step = after
     while True:
         key = rank * (rank.max(initial=0) + 2) + np.where(step >= 0, rank[step] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        depth *= 2
         fresh = np.ones(n, bool)
         fresh[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh) - 1
-        if fresh.all():
+        if depth >= width or fresh.all():
             return order
         step = np.where(step >= 0, step[step], -1)
 
@@ -96,7 +101,7 @@ def repeats(strings: list[bytes], width: int, shards: int = 4) -> tuple[np.ndarr
     for s, (a, b) in enumerate(zip([0, *bounds], [*bounds, n], strict=True)):
         if a == b:
             continue
-        order = _shard_order(symbol[a:b], np.where(after[a:b] >= 0, after[a:b] - a, -1)) + a
+        order = _shard_order(symbol[a:b], np.where(after[a:b] >= 0, after[a:b] - a, -1), width) + a
         orders.append(order)
         transforms.append(symbol[before[order]])
         interleave.append(np.full(b - a, s, np.uint8))

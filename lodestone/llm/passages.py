@@ -93,3 +93,41 @@ def segments(texts: list[bytes], width: int = WIDTH) -> Segments:
     spans = zip(lo.tolist(), (hi + width - 1).tolist(), strict=True)
     content = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in spans), np.uint64, len(lo))
     return Segments(text, lo - begins[text], hi - lo, keys[lo].view(np.int64), content.view(np.int64), periodic)
+
+
+#: Bytes beside the key's gram that a shared window must share on one side.
+_SIDE = (WIDTH - GRAM) // 2
+
+
+def _hashed(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the ``_SIDE + GRAM`` bytes from each place on."""
+    h = np.zeros(len(at), np.uint64)
+    for k in (*range(0, _SIDE + GRAM - 7, 8), _SIDE + GRAM - 8):
+        h = (h ^ eight[at + k]) * _MULTIPLIERS[0]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def contexts(pieces: list[bytes], key: np.ndarray) -> np.ndarray:
+    """Whether a segment may share a window with another, or with itself elsewhere.
+
+    A window holds its key's gram with ``_SIDE`` bytes before or after it, and an
+    equal window holds the same.  Segments whose bytes on either side of each such
+    gram occur nowhere else share no window.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    if not len(sizes):
+        return np.zeros(0, bool)
+    ends = np.cumsum(sizes)
+    data = b"".join(pieces)
+    h = _gram_hashes(data)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
+    at = np.flatnonzero(h == key.view(np.uint64)[owner])
+    at = at[at + GRAM <= ends[owner[at]]]
+    eight = np.ndarray(len(data) - 7, "<u8", buffer=data, strides=(1,))
+    out = np.zeros(len(sizes), bool)
+    for first in (at - _SIDE, at):
+        fits = (first >= (ends - sizes)[owner[at]]) & (first + _SIDE + GRAM <= ends[owner[at]])
+        _, back, n = np.unique(_hashed(eight, first[fits]), return_inverse=True, return_counts=True)
+        out[owner[at[fits]][n[back] > 1]] = True
+    return out

@@ -408,6 +408,61 @@ def test_repeats_of_unnamed_and_repeated_rows(spark):
     assert found == [(0, 200, 200, 1), (0, 400, 0, 0), (0, 400, 0, 0), (0, 400, 400, 1)] + [(1, 400, 0, 0)] * 40 + [(2, 600, 200, 1)] * 30
 
 
+def plain_removal_by_node(docs):
+    """n_removed of each row where ids may repeat: by a smaller id, or before in the same text."""
+    first, out = {}, []
+    for doc_id, text in docs:
+        data = text.encode()
+        for i in range(len(data) - 99):
+            first[data[i : i + 100]] = min(first.get(data[i : i + 100], doc_id), doc_id)
+    for doc_id, text in docs:
+        data, seen, gone = text.encode(), set(), set()
+        for i in range(len(data) - 99):
+            s = data[i : i + 100]
+            if first[s] < doc_id or s in seen:
+                gone |= set(range(i, i + 100))
+            seen.add(s)
+        out.append((doc_id, len(data), len(gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("crowd", [1, 256])
+def test_repeats_of_ids_with_several_texts(spark, crowd):
+    rng = np.random.default_rng(11)
+    x, y, z = ("".join(rng.choice(list("abcdefgh"), 300)) for _ in range(3))
+    docs = [(1, x), (2, x), (2, y), (3, y[50:] + z), (3, z + "tail" * 30), (3, z + "tail" * 30), (4, z), (4, y[:150] + z[100:])]
+    got = exact_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), crowd=crowd).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == plain_removal_by_node(docs)
+
+
+@pytest.mark.parametrize("n", [60, 10_000])
+def test_repeats_of_a_passage_in_many_contexts(spark, n):
+    rng = np.random.default_rng(12)
+    passage = "".join(rng.choice(list("abcdefghij "), 260))
+    letters = np.array(list("klmnopqrstuv "))
+    docs = [(i, "".join(rng.choice(letters, 90)) + passage[int(rng.integers(0, 3)) :] + "".join(rng.choice(letters, 70))) for i in range(n)]
+    got = rows(exact_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)))
+    for doc_id, want in plain_removal(docs).items():
+        assert tuple(got[doc_id])[1:] == want, doc_id
+
+
+def test_segments_without_a_shared_context_share_no_window():
+    from lodestone.llm import passages
+
+    rng = np.random.default_rng(13)
+    base = bytes(rng.choice(list(b"abcdefgh"), 400))
+    texts = [bytes(rng.choice(list(b"xyz"), int(a))) + base[a : a + n] + bytes(rng.choice(list(b"xyz"), 60)) for a, n in rng.integers(20, 200, (60, 2))]
+    s = passages.segments(texts)
+    pieces = [texts[t][a : a + n + 99] for t, a, n in zip(s.text, s.start, s.n, strict=True)]
+    seen = {}
+    for i, p in enumerate(pieces):
+        for o in range(len(p) - 99):
+            seen.setdefault(p[o : o + 100], []).append(i)
+    shares = {i for v in seen.values() if len(v) > 1 for i in v}
+    may = passages.contexts(pieces, s.key)
+    assert shares <= set(np.flatnonzero(may)) and not may.all()
+
+
 def test_mixing_meets_its_targets(spark, sf):
     got = QUERIES["op9_mixing"](spark, sf).collect()
     total = sum(r["n_tokens"] * r["rate"] for r in got)
