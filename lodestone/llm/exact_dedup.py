@@ -33,7 +33,7 @@ from lodestone.plans.lineage import cut
 #: settled together, and of segments merged together (sorted inside a core's cache).
 TOGETHER, SETTLED, MERGED = 1 << 20, 1 << 24, 1 << 16
 #: Contents of one key from which on its segments are cut into single windows.
-CROWD = 256
+CROWD = 1024
 #: Crowded keys that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 #: Documents without a doc_id are named from here on, by their texts: after all others.
