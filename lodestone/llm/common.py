@@ -34,3 +34,11 @@ def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name

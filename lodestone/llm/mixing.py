@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import SPACE
+from lodestone.llm.common import SPACE, fresh
 from lodestone.plans.lineage import cut
 
 #: Buckets that lower-cased words are hashed to.
@@ -131,15 +131,8 @@ def copies(rate: Column, doc_id: Column) -> Column:
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], **how) -> DataFrame:
     """``docs``, all columns kept, each row as often as its document's rate says."""
     rates = document_rates(docs.select("doc_id", "text"), labelled, targets, **how)
-    id_name, times_name, each_name = (_fresh(n, docs.columns) for n in ("id", "times", "each"))
+    id_name, times_name, each_name = (fresh(n, docs.columns) for n in ("id", "times", "each"))
     times = rates.select(F.col("doc_id").alias(id_name), copies(F.col("rate"), F.col("doc_id")).alias(times_name)).where(F.col(times_name) > 0)
     joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col(id_name)))
     return joined.withColumn(each_name, F.explode(F.sequence(F.lit(1), F.col(times_name)))).select(*docs.columns)
 
-
-def _fresh(name: str, taken: list[str]) -> str:
-    """A column name that is not taken."""
-    name = f"__{name}"
-    while name in taken:
-        name += "_"
-    return name

@@ -2,10 +2,10 @@
 
 Documents are cut into pieces of at most ``CAPACITY`` ids and the pieces are
 dealt evenly to shards of a bounded size.  A shard is packed best-fit, largest
-first; then the emptiest bin gives pieces to fuller ones, by a move or by
-exchanging one or two of its pieces for a smaller one, each step raising the sum
-of squared fills, until it is empty or no step is left.  What is left in
-underfull bins of all shards is dealt out and packed once more.
+first; then bins, the emptiest first, give pieces to fuller ones, by a move, by
+exchanging one or two pieces for a smaller one or one for two, each step raising
+the sum of squared fills, until no step is left.  What is left in underfull bins
+of all shards is dealt out and packed once more.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import fresh
 from lodestone.plans.lineage import cut
 
 #: Ids that fit a sequence.
@@ -32,8 +33,6 @@ END_ID = 2
 SHARD = 16_384
 #: Bins filled below this share are packed again across shards.
 UNDERFULL = 0.97
-#: Steps of the local search of one shard, at most; it only bounds time, every piece stays.
-STEPS = 4_000
 
 _CACHE = 400_000
 _RUN = re.compile(r"\s ")
@@ -160,80 +159,161 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def swap_search(sizes: list[int], bins: list[int], capacity: int, steps: int = STEPS) -> list[int]:
-    """Better bins for the items, by moves and swaps out of the emptiest bin.
-
-    Each step takes a net amount from the emptiest bin that still has steps and
-    gives it to a bin at least as full, which raises the sum of squared fills;
-    the largest such amount is taken first, a bin's whole gap if possible.
+class _Open:
+    """Underfull bins by what they can give back: for one item, or the sum of two,
+    the gaps of the bins that hold it."""
+
+    def __init__(self, capacity: int):
+        self.bins: dict[int, dict[int, set[int]]] = {}
+        self.largest = np.full(capacity + 1, -1, np.int64)  # the largest of these gaps
+
+    def add(self, sums: set[int], gap: int, b: int) -> None:
+        for y in sums:
+            self.bins.setdefault(y, {}).setdefault(gap, set()).add(b)
+            if gap > self.largest[y]:
+                self.largest[y] = gap
+
+    def drop(self, sums: set[int], gap: int, b: int) -> None:
+        for y in sums:
+            there = self.bins[y][gap]
+            there.discard(b)
+            if not there:
+                del self.bins[y][gap]
+                if gap == self.largest[y]:
+                    self.largest[y] = max(self.bins[y], default=-1)
+
+    def least(self) -> np.ndarray:
+        """For each amount the least return that makes room for it in some bin."""
+        n = len(self.largest)
+        known = np.flatnonzero(self.largest >= 0)
+        out = np.full(2 * n, n, np.int64)
+        np.minimum.at(out, known + self.largest[known], known)
+        return np.minimum.accumulate(out[::-1])[::-1]
+
+    def fit(self, y: int, amount: int) -> int:
+        """The fullest bin that takes ``amount`` for ``y``; the least number among several."""
+        gap = min(g for g in self.bins[y] if g + y >= amount)
+        return min(self.bins[y][gap])
+
+
+def _pair_sums(sizes: dict[int, list[int]]) -> set[int]:
+    some = sorted(sizes)
+    return {x + y for i, x in enumerate(some) for y in some[i + 1 :]} | {2 * x for x in some if len(sizes[x]) > 1}
+
+
+def _taken(sizes: dict[int, list[int]], amount: int, two: bool) -> list[int]:
+    """One item of that size, or two of that sum, taken out of a bin."""
+    if not two:
+        return [sizes[amount].pop()]
+    x = next(x for x in sorted(sizes) if amount - x in sizes and (2 * x != amount or len(sizes[x]) > 1))
+    return [sizes[x].pop(), sizes[amount - x].pop()]
+
+
+def swap_search(sizes: list[int], bins: list[int], capacity: int) -> list[int]:
+    """Better bins for the items, by moves and swaps between underfull bins.
+
+    From the emptiest bin on, each bin gives fuller ones one or two of its items
+    for none or one of theirs, or one for two, wherever that leaves it emptier:
+    the sum of squared fills rises with each step.  The largest net amount goes
+    first.  A bin is done with when it is empty or has no step; all are tried
+    again until there is no step left, or no fewer bins are possible.
     """
-    size, at = np.asarray(sizes, np.int64), np.asarray(bins, np.int64).copy()
-    if not len(size):
+    if not len(sizes):
         return []
-    n_bins = int(at.max()) + 1
-    fill = np.bincount(at, size, n_bins).astype(np.int64)
-    open_bins = int((fill > 0).sum())
-    least = -(-int(size.sum()) // capacity)
-    stuck = np.zeros(n_bins, bool)
-    while steps > 0 and open_bins > least:
-        free = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
-        if len(free) < 2:
-            break
-        e = free[np.argmin(fill[free])]
-        while fill[e] > 0 and steps > 0:
-            steps -= 1
-            own = np.flatnonzero(at == e)
-            target = (fill >= fill[e]) & (fill < capacity)
-            target[e] = False
-            gap = np.where(target, capacity - fill, -1)
-            best = (0, None)
-            for x in own:  # a move
-                fits = np.flatnonzero(gap >= size[x])
-                if len(fits) and size[x] > best[0]:
-                    best = (size[x], ([x], None, fits[np.argmin(gap[fits])]))
-            item_gap = gap[at]
-            some = own if len(own) <= 12 else own[np.argsort(-size[own], kind="stable")[:12]]
-            gives = [[x] for x in some] + [[x, y] for i, x in enumerate(some) for y in some[i + 1 :]]
-            for give in gives:  # one or two of its own for a smaller one
-                net = size[give].sum() - size
-                ok = np.flatnonzero((net > best[0]) & (net <= item_gap))
-                if len(ok):
-                    y = ok[np.argmax(net[ok])]
-                    best = (net[y], (give, y, at[y]))
-            if best[1] is None:
-                stuck[e] = True
+    at = list(bins)
+    n_bins = max(at) + 1
+    held: list[dict[int, list[int]]] = [{} for _ in range(n_bins)]
+    for i in range(len(sizes) - 1, -1, -1):
+        held[at[i]].setdefault(sizes[i], []).append(i)
+    fill = np.zeros(n_bins, np.int64)
+    np.add.at(fill, at, sizes)
+    open_bins, least = int((fill > 0).sum()), -(-int(sum(sizes)) // capacity)
+    moved = True
+    while moved and open_bins > least:
+        moved = False
+        one, two = _Open(capacity), _Open(capacity)
+        single = lambda b: {0, *held[b]}
+
+        def enter(b: int, one=one, two=two, single=single) -> None:
+            if fill[b] < capacity:
+                one.add(single(b), capacity - int(fill[b]), b)
+                two.add(_pair_sums(held[b]), capacity - int(fill[b]), b)
+
+        def leave(b: int, one=one, two=two, single=single) -> None:
+            if fill[b] < capacity:
+                one.drop(single(b), capacity - int(fill[b]), b)
+                two.drop(_pair_sums(held[b]), capacity - int(fill[b]), b)
+
+        waiting = np.where((fill > 0) & (fill < capacity), fill, capacity)
+        for b in np.flatnonzero(waiting < capacity).tolist():
+            enter(b)
+        while open_bins > least:
+            e = int(np.argmin(waiting))
+            if waiting[e] >= capacity:
                 break
-            give, back, to = best[1]
-            at[give] = to
-            if back is not None:
-                at[back] = e
-            fill[to] += best[0]
-            fill[e] -= best[0]
-        if fill[e] == 0:
-            open_bins -= 1
-    return at.tolist()
+            leave(e)
+            waiting[e] = capacity
+            while fill[e]:
+                own, pairs = np.array(sorted(held[e])), np.array(sorted(_pair_sums(held[e])), np.int64)
+                f1, f2 = one.least(), two.least()
+                # net amount, what goes, whether that is two, what comes back, whether that is two
+                steps = [(x - y, x, double, y, back) for a, f, double, back in ((own, f1, False, False), (pairs, f1, True, False), (own, f2, False, True)) if len(a) for x, y in [_widest(a, f)] if y < x]
+                if not steps:
+                    break
+                net, x, double, y, back = max(steps, key=lambda s: (s[0], -s[2] - s[4]))
+                b = (two if back else one).fit(y, x)
+                leave(b)
+                go, come = _taken(held[e], x, double), _taken(held[b], y, back) if y else []
+                for items, to in ((go, b), (come, e)):
+                    for i in items:
+                        held[to].setdefault(sizes[i], []).append(i)
+                        at[i] = to
+                for c in (b, e):
+                    for s in [s for s, items in held[c].items() if not items]:
+                        del held[c][s]
+                fill[b] += net
+                fill[e] -= net
+                enter(b)
+                waiting[b] = fill[b] if waiting[b] < capacity and fill[b] < capacity else capacity
+                moved = True
+            open_bins -= not fill[e]
+    return at
+
+
+def _widest(amounts: np.ndarray, least: np.ndarray) -> tuple[int, int]:
+    """The amount that exceeds its least return the most, and that return."""
+    i = int(np.argmax(amounts - least[amounts]))
+    return int(amounts[i]), int(least[amounts[i]])
 
 
 def pack_items(sizes: list[int], capacity: int, before: list[int] | None = None) -> list[int]:
-    """Bins of items, numbered from 0; ``before`` is kept if it has no more bins."""
-    found = swap_search(sizes, best_fit(sizes, capacity), capacity)
-    if before is not None and len(set(before)) <= len(set(found)):
-        found = swap_search(sizes, before, capacity)
+    """Bins of items, numbered from 0; ``before`` is kept if it has no more bins.
+
+    Items longer than ``capacity`` have a bin each.
+    """
+    fits = [i for i, s in enumerate(sizes) if s <= capacity]
+    small = [sizes[i] for i in fits]
+    found = swap_search(small, best_fit(small, capacity), capacity)
+    if before is not None and len(fits) == len(sizes) and len(set(before)) <= len(set(found)):
+        found = swap_search(small, before, capacity)
+    out = [-1 - i for i in range(len(sizes))]
+    for i, b in zip(fits, found, strict=True):
+        out[i] = b
     number: dict[int, int] = {}
-    return [number.setdefault(b, len(number)) for b in found]
+    return [number.setdefault(b, len(number)) for b in out]
 
 
-def _shard_packer(capacity: int):
+def _shard_packer(capacity: int, shard: str, before: str, number: str, fill: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = [c for c in pdf.columns if c not in ("__shard", "__before")]
-        pdf = pdf.sort_values(["length", *[c for c in ("doc_id", "piece") if c in order]], kind="stable", ascending=False).reset_index(drop=True)
-        before = pdf["__before"].tolist() if pdf["__before"].notna().all() else None
-        if before is not None:
-            known: dict[int, int] = {}
-            before = [known.setdefault(b, len(known)) for b in before]
-        pdf["__bin"] = np.array(pack_items(pdf["length"].tolist(), capacity, before), np.int64)
-        pdf["offset"] = pdf.groupby("__bin")["length"].cumsum() - pdf["length"]
-        pdf["__fill"] = pdf.groupby("__bin")["length"].transform("sum")
+        order = [c for c in pdf.columns if c not in (shard, before)]
+        length = pdf["length"].fillna(0).clip(lower=0).astype(np.int64)
+        by = pd.DataFrame({"n": -length, **{c: pdf[c] for c in ("doc_id", "piece") if c in order}}).sort_values(["n", *[c for c in ("doc_id", "piece") if c in order]], kind="stable").index
+        pdf, length = pdf.loc[by].reset_index(drop=True), length.loc[by].reset_index(drop=True)
+        known: dict[int, int] = {}
+        bins = [known.setdefault(b, len(known)) for b in pdf[before].tolist()] if pdf[before].notna().all() else None
+        pdf[number] = np.array(pack_items(length.tolist(), capacity, bins), np.int64)
+        pdf["offset"] = length.groupby(pdf[number]).cumsum() - length
+        pdf[fill] = length.groupby(pdf[number]).transform("sum")
         return pdf
 
     return run
@@ -242,32 +322,35 @@ def _shard_packer(capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``items``, all columns kept, with ``sequence_id`` and ``offset``.
 
-    ``items`` has a long ``length`` from 1 to ``capacity``.  Sequences hold at
-    most ``capacity``, offsets are gapless from 0.  Repeated rows are items of
-    their own; an empty table gives an empty result.
+    ``items`` has a whole-number ``length``; null or negative ones count as 0, and
+    an item longer than ``capacity`` is a sequence of its own.  Other sequences
+    hold at most ``capacity``; offsets are gapless from 0.  Columns ``sequence_id``
+    and ``offset`` of ``items`` are replaced.  Repeated rows are items of their
+    own; an empty table gives an empty result.
     """
+    items = items.drop("sequence_id", "offset")
     names = items.columns
+    shard_name, before, number, fill = (fresh(n, names) for n in ("shard", "before", "bin", "fill"))
     rows = cut(items)
     n = rows.count()
     if n == 0:
         return rows.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    full = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in ("__shard", "__before", "__bin", "offset", "__fill")]])
+    full = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in (shard_name, before, number, "offset", fill)]])
 
     def packed(df: DataFrame) -> DataFrame:
-        return df.groupBy("__shard").applyInPandas(_shard_packer(capacity), full)
+        return df.groupBy(shard_name).applyInPandas(_shard_packer(capacity, shard_name, before, number, fill), full)
 
     # dealt row by row, so that no key can crowd a shard
-    dealt = rows.withColumn("__shard", F.monotonically_increasing_id() % (-(-n // shard))).withColumn("__before", F.lit(None).cast("long"))
-    first = cut(packed(dealt))
-    bin_id = F.shiftleft(F.col("__shard"), 32).bitwiseOR(F.col("__bin"))
-    done = first.select(*names, bin_id.alias("sequence_id"), "offset", "__fill")
-    loose = done.where(F.col("__fill") < UNDERFULL * capacity)
-    m = loose.count() if n > shard else 0
+    dealt = rows.withColumn(shard_name, F.monotonically_increasing_id() % (-(-n // shard))).withColumn(before, F.lit(None).cast("long"))
+    bin_id = F.shiftleft(F.col(shard_name), 32).bitwiseOR(F.col(number))
+    done = cut(packed(dealt)).select(*names, bin_id.alias("sequence_id"), "offset", fill)
+    loose = done.where(F.col(fill) < UNDERFULL * capacity)
+    m = loose.count()
     if m == 0:
-        return done.drop("__fill")
-    again = loose.select(*names, F.pmod(F.xxhash64("sequence_id"), F.lit(-(-m // shard))).alias("__shard"), F.col("sequence_id").alias("__before"))
+        return done.drop(fill)
+    again = loose.select(*names, F.pmod(F.xxhash64("sequence_id"), F.lit(-(-m // shard))).alias(shard_name), F.col("sequence_id").alias(before))
     second = packed(again).select(*names, bin_id.bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), "offset")
-    return done.where(F.col("__fill") >= UNDERFULL * capacity).drop("__fill").unionByName(second)
+    return done.where(F.col(fill) >= UNDERFULL * capacity).drop(fill).unionByName(second)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, shard: int = SHARD, with_ids: bool = False) -> DataFrame:

@@ -522,6 +522,49 @@ def test_swaps_empty_bins():
     assert packing.best_fit([7, 3, 5, 5], 10)[0] == packing.best_fit([7, 3, 5, 5], 10)[1]
 
 
+def test_search_empties_bins_that_best_fit_leaves():
+    sizes = [4, 4, 4, 3, 3, 3, 3, 3, 3]  # best fit takes four bins of 10, and three do
+    assert len(set(packing.best_fit(sizes, 10))) == 4 and len(set(packing.pack_items(sizes, 10))) == 3
+    rng = np.random.default_rng(8)
+    emptied = 0
+    for low, high, capacity, n in [(20, 50, 100, 60), (30, 69, 100, 300), (1, 60, 100, 200), (340, 699, 1024, 600), (5, 9, 20, 90)] * 4:
+        sizes = rng.integers(low, high + 1, n).tolist()
+        before, after = packing.best_fit(sizes, capacity), packing.pack_items(sizes, capacity)
+        assert max(np.bincount(after, sizes)) <= capacity and len(set(after)) <= len(set(before))
+        emptied += len(set(before)) - len(set(after))
+    assert emptied > 0
+
+
+def test_search_raises_the_squared_fill_and_leaves_no_step():
+    rng = np.random.default_rng(10)
+    for _ in range(20):
+        sizes, capacity = rng.integers(2, 15, 24).tolist(), 20
+        bins = packing.best_fit(sizes, 15)  # loose to begin with
+        after = packing.swap_search(sizes, bins, capacity)
+        fill = lambda x: np.bincount(x, sizes, max(bins) + 1).astype(int)
+        a, b = fill(bins), fill(after)
+        assert b.max() <= capacity and b.sum() == a.sum() and (b**2).sum() >= (a**2).sum()
+        if (b > 0).sum() == -(-sum(sizes) // capacity):
+            continue
+        own = {c: [s for s, x in zip(sizes, after, strict=True) if x == c] for c in set(after)}
+        some = lambda c, n: [sum(x) for k in n for x in __import__("itertools").combinations(own[c], k)]
+        for e in own:
+            for c in own:
+                if c != e and b[e] <= b[c] < capacity:
+                    steps = [x - y for give, take in (((1, 2), (0, 1)), ((1,), (2,))) for x in some(e, give) for y in some(c, take)]
+                    assert not any(0 < net <= capacity - b[c] for net in steps) or b[e] == b[c]
+
+
+def test_packing_of_odd_items(spark):
+    items = spark.createDataFrame([(None, "a", 1), (-3, "b", 2), (2000, "c", 3), (1024, "d", 4), (5, None, 5), (5, None, 5)], "length long, __shard string, offset int")
+    out = packing.pack(items).collect()
+    assert sorted(items.drop("offset").columns) == sorted(set(out[0].asDict()) - {"sequence_id", "offset"}) and len(out) == 6
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append(r["length"])
+    assert [2000] in by.values() and sum(x or 0 for v in by.values() for x in v if (x or 0) > 0) == 3034
+
+
 def test_packing_in_many_shards(spark):
     items = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("length"), "id")
     out = packing.pack(items, shard=300).collect()
