@@ -3,10 +3,15 @@
 For each language a suffix automaton holds all substrings of a bounded sample of
 labelled text.  A text is parsed from left to right into the longest phrases
 that the automaton knows; the fewer phrases for its length, the closer the text
-is to the language.  Texts are parsed in blocks of ``BLOCK`` symbols, all blocks
-of a batch and all languages in step, through one table that holds for a state
-and a symbol either the next state or, marked, the state after a new phrase
-has begun.
+is to the language.  Blocks of ``BLOCK`` symbols are parsed in step, through a
+table that holds for a state and a symbol either the next state or, marked, the
+state after a new phrase has begun.  A phrase that is open at the end of a block
+is then carried into the next one, up to the first place where both parses begin
+a phrase and so go on alike: the counts are those of one parse of the whole text.
+
+Every letter of the samples has a code of its own: a symbol, or several where the
+samples have more letters than the table has columns.  Letters that no sample
+has share one symbol, which no phrase holds.
 """
 
 from __future__ import annotations
@@ -18,20 +23,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Symbols of training text for each language, at most.
-SAMPLE = 40_000
+#: Symbols of training text for each language, at most, and for all languages together.
+SAMPLE, SAMPLES = 40_000, 600_000
 #: Code points of a passage: training texts are cut whole into passages, which are drawn.
 PASSAGE = 1_000
-#: Letters with a symbol of their own; rarer ones share one.
-LETTERS = 62
-#: Symbols of a block.
-BLOCK = 2_048
-#: Blocks that are parsed together, at most.
-LANES = 4_096
+#: Symbols of the table, at most, and those of them that are digits of longer codes where letters are more.
+WIDTH, DIGITS = 96, 32
+#: Symbols of a block, and the blocks times languages that are parsed together, at most.
+BLOCK, LANES = 2_048, 1 << 14
 #: The prediction for texts without a letter.
 UNKNOWN = "und"
 
-_WIDTH = LETTERS + 2
 _NEW = 1 << 30
 
 
@@ -58,8 +60,8 @@ def _collapse(symbols: np.ndarray) -> np.ndarray:
     return symbols[keep]
 
 
-def automaton(symbols: list[int]) -> np.ndarray:
-    """The step table of a suffix automaton over symbols 0 to _WIDTH - 1.
+def automaton(symbols: list[int], width: int) -> np.ndarray:
+    """The step table of a suffix automaton over symbols 0 to ``width`` - 1.
 
     Entry [state, symbol] is the next state, or ``_NEW`` plus the state after
     the symbol alone where the phrase can't go on; for a symbol that the sample
@@ -90,69 +92,99 @@ def automaton(symbols: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.empty((len(nxt), _WIDTH), np.int32)
-    table[:] = [_NEW + nxt[0].get(c, 0) for c in range(_WIDTH)]
+    table = np.empty((len(nxt), width), np.int32)
+    table[:] = [_NEW + nxt[0].get(c, 0) for c in range(width)]
     for s, steps in enumerate(nxt):
         for c, t in steps.items():
             table[s, c] = t
     return table
 
 
+class Alphabet:
+    """Codes of the letters of some samples; 0 parts words, 1 is any other letter."""
+
+    def __init__(self, texts: list[str]):
+        lower = _lower_letters()
+        seen, found = np.unique(np.concatenate([*(lower[_points(t)] for t in texts), np.zeros(0, np.uint32)]), return_counts=True)
+        letters = [int(seen[i]) for i in np.lexsort((seen, -found)) if seen[i]]
+        alone = len(letters) if len(letters) <= WIDTH - 2 else WIDTH - 2 - DIGITS
+        self.width = 2 + alone + (DIGITS if len(letters) > alone else 0)
+        self.digits = next(d for d in range(1, 5) if DIGITS**d >= len(letters) - alone)
+        #: For each code point its symbol, or -1 less the number of its longer code.
+        code = np.zeros(0x110000, np.int32)
+        code[lower != 0] = 1
+        by_letter = np.full(0x110000, 1, np.int32)
+        for k, c in enumerate(letters):
+            by_letter[c] = k + 2 if k < alone else alone - k - 1
+        known = lower != 0
+        code[known] = by_letter[lower[known]]
+        self.code, self.first_digit = code, 2 + alone
+
+    def symbols(self, text: str) -> np.ndarray:
+        """The codes of a text's letters, words parted by one 0; empty without a letter."""
+        code = self.code[_points(text)]
+        if not code.any():
+            return np.zeros(0, np.uint8)
+        code = _collapse(code)
+        if code.min() >= 0:
+            return code.astype(np.uint8)
+        size = np.where(code < 0, self.digits, 1)
+        out = np.repeat(code, size)
+        place = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
+        long = out < 0
+        out[long] = self.first_digit + (-1 - out[long]) // DIGITS ** (self.digits - 1 - place[long]) % DIGITS
+        return out.astype(np.uint8)
+
+
 class Parser:
     """Automata of all languages over one alphabet."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        lower = _lower_letters()
-        folded = {k: lower[_points(samples[k])] for k in self.languages}
-        seen, found = np.unique(np.concatenate([*folded.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        order = np.lexsort((seen, -found))
-        common = [int(seen[i]) for i in order if seen[i]][:LETTERS]
-        symbol = np.zeros(0x110000, np.uint8)
-        symbol[lower != 0] = LETTERS + 1
-        for k, c in enumerate(common):
-            symbol[lower == c] = k + 1
-        self.symbol = symbol
-        tables = [automaton(_collapse(symbol[_points(samples[k])])[:SAMPLE].tolist()) for k in self.languages]
-        # One table for all: the states of a language are numbered on from those before it.
-        self.roots = np.cumsum([0, *[len(t) for t in tables]])[:-1].astype(np.int32)
-        self.table = np.concatenate([t + r for t, r in zip(tables, self.roots, strict=True)]).ravel() if tables else np.zeros(0, np.int32)
+        self.alphabet = Alphabet([samples[k] for k in self.languages])
+        room = min(SAMPLE, SAMPLES // max(1, len(samples)))
+        self.tables = [automaton(self.alphabet.symbols(samples[k])[:room].tolist(), self.alphabet.width).ravel() for k in self.languages]
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the symbols of each text
-        (0 for texts without a letter)."""
-        parsed = []
-        for t in texts:
-            s = self.symbol[_points(t)] if t else np.zeros(0, np.uint8)
-            parsed.append(_collapse(s) if s.any() else s[:0])
+        (0 for texts without a letter).
+
+        A symbol that the sample lacks opens a phrase, to which the longest match
+        after it belongs.
+        """
+        parsed = [self.alphabet.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
         sizes = np.array([len(s) for s in parsed], np.int64)
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        blocks = [(i, a) for i, n in enumerate(sizes.tolist()) for a in range(0, n, BLOCK)]
-        blocks.sort(key=lambda b: -min(BLOCK, sizes[b[0]] - b[1]))
-        for k in range(0, len(blocks), LANES):
-            some = blocks[k : k + LANES]
-            length = np.array([min(BLOCK, sizes[i] - a) for i, a in some])
-            grid = np.zeros((int(length[0]), len(some)), np.uint8)
-            for j, (i, a) in enumerate(some):
-                grid[: length[j], j] = parsed[i][a : a + BLOCK]
-            found = self._run(grid, length)
-            np.add.at(counts, [i for i, _ in some], found)
+        # Whole texts in each group, so that a phrase can be carried on; a text of many blocks may be a group alone.
+        group, blocks, most = [], 0, max(1, LANES // max(1, len(self.languages)))
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            n = -(-int(sizes[i]) // BLOCK)
+            if group and (blocks + n > most or not n):
+                self._count(group, parsed, counts)
+                group, blocks = [], 0
+            if n:
+                group.append(i)
+                blocks += n
+        if group:
+            self._count(group, parsed, counts)
         return counts, sizes
 
-    def _run(self, grid: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Phrases of each lane (blocks by falling length) in each language."""
-        k, lanes = len(self.languages), grid.shape[1]
-        state = np.repeat(self.roots[:, None], lanes, axis=1)
-        new = np.ones((k, lanes), np.int64)
-        live = np.searchsorted(-length, -np.arange(grid.shape[0]), side="left")
-        for i in range(grid.shape[0]):
-            n = live[i]
-            at = state[:, :n]
-            step = self.table[at * np.int32(_WIDTH) + grid[i, :n]]
-            begun = step >= _NEW
-            new[:, :n] += begun
-            state[:, :n] = step & (_NEW - 1)
-        return new.T
+    def _count(self, group: list[int], parsed: list[np.ndarray], counts: np.ndarray) -> None:
+        # Blocks of a text lie side by side; only a text's last one may be short.
+        owner = np.repeat(group, [-(-len(parsed[i]) // BLOCK) for i in group])
+        last = np.append(owner[1:] != owner[:-1], True)
+        length = np.full(len(owner), BLOCK)
+        length[last] = [(len(parsed[i]) - 1) % BLOCK + 1 for i in group]
+        grid = np.zeros((int(length.max()), len(owner)), np.uint8)
+        for k, (i, a) in enumerate(zip(group, np.flatnonzero(np.append(True, last[:-1])).tolist(), strict=True)):
+            s = parsed[i]
+            whole = len(s) // len(grid) if len(s) > len(grid) else 0
+            grid[:, a : a + whole] = s[: whole * len(grid)].reshape(whole, len(grid)).T
+            rest = s[whole * len(grid) :]
+            if len(rest):
+                grid[: len(rest), a + whole] = rest
+        for k, table in enumerate(self.tables):
+            np.add.at(counts[:, k], owner, _block_phrases(table, self.alphabet.width, grid, length, last))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; ties go to the first language by name."""
@@ -169,6 +201,56 @@ class Parser:
         return out
 
 
+def _block_phrases(table: np.ndarray, width: int, grid: np.ndarray, length: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each block (a column of ``grid``), in the parse of the whole texts.
+
+    ``last`` marks the last block of each text; the next one follows the others.
+    """
+    depth, lanes = grid.shape
+    order = np.argsort(-length, kind="stable")
+    ends = np.searchsorted(-length[order], -np.arange(depth), side="left")  # blocks that have a symbol there
+    state, begins = np.zeros(lanes, np.int32), np.zeros((depth, lanes), bool)
+    sorted_grid = grid[:, order]
+    for i in range(depth):
+        n = ends[i]
+        step = table[state[:n] * np.int32(width) + sorted_grid[i, :n]]
+        begins[i, :n] = step >= _NEW
+        state[:n] = step & (_NEW - 1)
+    begins[0] = True  # each block by itself begins with a phrase
+    own = np.empty_like(begins)
+    own[:, order] = begins
+    out_state = np.empty_like(state)
+    out_state[order] = state
+    # At each place the phrases of the block from there on.
+    rest = np.cumsum(own[::-1], axis=0, dtype=np.int16)[::-1]
+    found = rest[0].astype(np.int64)
+    # Carry each open phrase into the next block, to the first place where both parses begin one.
+    # Where they never meet, the next block but one is entered otherwise and is parsed again.
+    leave = out_state.copy()
+    lane = np.flatnonzero(~last) + 1
+    while len(lane):
+        state, begun = leave[lane - 1], np.zeros(len(lane), np.int64)
+        live = np.arange(len(lane))
+        for i in range(depth):
+            live = live[length[lane[live]] > i]
+            if not len(live):
+                break
+            at = lane[live]
+            step = table[state[live] * np.int32(width) + grid[i, at]]
+            met = (step >= _NEW) & own[i, at]
+            state[live] = step & (_NEW - 1)
+            begun[live] += (step >= _NEW) & ~met
+            done = live[met]
+            begun[done] += rest[i, lane[done]]
+            state[done] = out_state[lane[done]]
+            live = live[~met]
+        found[lane] = begun
+        changed = state != leave[lane]
+        leave[lane] = state
+        lane = lane[changed & ~last[lane]] + 1
+    return found
+
+
 @functools.lru_cache(maxsize=2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
@@ -179,26 +261,30 @@ def collect_samples(docs: DataFrame, use: Column | None = None) -> dict[str, str
 
     Rows with a null text, lang or doc_id teach nothing.  Whole texts are cut
     into passages of ``PASSAGE`` code points; of each language those with the
-    least hash of id, text and place are taken, as many as hold about twice
-    ``SAMPLE`` symbols, wherever in a text they lie.  Repeated rows count once.
-    The text sent to the driver is bounded by the number of languages.
+    least hash of text and place are taken, as many as hold about twice
+    ``SAMPLE`` symbols, wherever in a text they lie.  Equal texts of a language
+    count once.  The text sent to the driver is bounded by ``SAMPLES``, and by
+    one passage a language.
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.col("lang") != UNKNOWN)
     if use is not None:
         rows = rows.where(use)
-    rows = rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chars = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    rows = rows.select("lang", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # Sized by distinct texts: copies draw the same passages.
+    sizes = rows.select("lang", "h", F.length("text").alias("n")).distinct().groupBy("lang").agg(F.sum("n").alias("n"))
+    chars = {r["lang"]: r["n"] for r in sizes.collect()}
     if not chars:
         return {}
-    share = lambda n: min(1 << 30, int((1 << 30) * (2 * SAMPLE + 40 * PASSAGE) / max(1, n)))
+    wanted = 2 * min(SAMPLE, SAMPLES // len(chars))
+    share = lambda n: min(1 << 30, int((1 << 30) * (wanted + 40 * PASSAGE) / max(1, n)))
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(share(n))) for k, n in chars.items()])
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("limit", limit)
+    rows = rows.withColumn("limit", limit)
     places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PASSAGE).cast("int"))
     draw = lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30))
-    drawn = rows.where("text <> ''").select("lang", "doc_id", "h", "text", F.explode(F.filter(places, lambda i: draw(i) < F.col("limit"))).alias("i"))
-    drawn = drawn.select("lang", draw(F.col("i")).alias("draw"), "doc_id", "i", F.substr("text", F.col("i") * PASSAGE + 1, F.lit(PASSAGE)).alias("text")).distinct()
+    drawn = rows.where("text <> ''").select("lang", "h", "text", F.explode(F.filter(places, lambda i: draw(i) < F.col("limit"))).alias("i"))
+    drawn = drawn.select("lang", draw(F.col("i")).alias("draw"), "h", "i", F.substr("text", F.col("i") * PASSAGE + 1, F.lit(PASSAGE)).alias("text")).distinct()
     out: dict[str, list[str]] = {}
-    room = dict.fromkeys(chars, 2 * SAMPLE)
+    room = dict.fromkeys(chars, wanted)
     for r in sorted(drawn.collect()):
         if room[r["lang"]] > 0:
             out.setdefault(r["lang"], []).append(r["text"])

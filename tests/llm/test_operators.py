@@ -172,29 +172,49 @@ def test_language_samples_come_from_whole_texts(spark):
     assert list(got) == ["a"] and sorted(got["a"].replace("\n", "")) == sorted(late + "zz")
 
 
-def test_language_parse_against_the_plain_one():
-    samples = {"x": "abracadabra alakazam", "y": "hocus pocus fidibus"}
+def plain_phrases(symbols, known):
+    """Phrases of a greedy parse; a symbol that ``known`` lacks opens one that the longest match after it joins."""
+    n = i = 0
+    while i < len(symbols):
+        j = i + (symbols[i : i + 1] not in known)
+        k = j
+        while k < len(symbols) and symbols[j : k + 1] in known:
+            k += 1
+        n, i = n + 1, max(k, i + 1)
+    return n
+
+
+@pytest.mark.parametrize("block", [3, 16, 2048])
+def test_language_parse_against_the_plain_one(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = np.random.default_rng(14)
+    samples = {"x": "abracadabra alakazam", "y": "hocus pocus fidibus", "z": "".join(rng.choice(list("ab "), 300)), "\u4e2d": "".join(chr(0x4E00 + i % 331) for i in range(0, 4000, 7)) + "\u03b1\u03b2\u03b3"}
     parser = langid.Parser(samples)
-    for text in ("abra kadabra fidi", "zzz", "a", "pocus" * 1000):
-        counts, sizes = parser.phrases([text])
-        symbols = langid._collapse(parser.symbol[langid._points(text)])
-        assert sizes[0] == len(symbols)
+    texts = ["abra kadabra fidi", "zzz", "a", "pocus" * 1000, "".join(rng.choice(list("ab "), 500)), "a" * 40, "\u4e00\u4e07\u4e0e q \u03b1", "", None, "12", "\U00010400bus"]
+    counts, sizes = parser.phrases(texts)
+    for i, text in enumerate(texts):
+        symbols = bytes(parser.alphabet.symbols(text or ""))
+        assert sizes[i] == len(symbols)
         for k, lang in enumerate(parser.languages):
-            known = bytes(langid._collapse(parser.symbol[langid._points(samples[lang])]))
-            n = 0
-            for a in range(0, len(symbols), langid.BLOCK):
-                block, i = bytes(symbols[a : a + langid.BLOCK]), 0
-                while i < len(block):
-                    j = i + 1
-                    if block[i:j] in known:
-                        while j < len(block) and block[i : j + 1] in known:
-                            j += 1
-                    n, i = n + 1, j
-            # a symbol that a sample lacks closes a phrase of its own
-            assert abs(int(counts[0, k]) - n) <= sum(bytes([s]) not in known for s in symbols) + len(symbols) // langid.BLOCK + 1
+            assert counts[i, k] == plain_phrases(symbols, bytes(parser.alphabet.symbols(samples[lang])))
     assert parser.predict([None, "123", "abracadabra"])[:2] == [("und", 0.0)] * 2
 
 
+def test_language_alphabet_keeps_letters_apart():
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0x3B1, 0x3CA), *range(0x430, 0x450), *range(0x4E00, 0x4F00))]
+    alphabet = langid.Alphabet(["".join(letters)])
+    codes = {bytes(alphabet.symbols(c)) for c in letters}
+    assert len({bytes(alphabet.symbols(c)) for c in letters}) == len({c.lower() for c in letters}) and alphabet.width <= langid.WIDTH
+    assert bytes(alphabet.symbols("\u0905")) not in codes and len(alphabet.symbols("12 !")) == 0
+    assert langid.Alphabet(["abc \u00e9"]).symbols("A1b").tolist() == langid.Alphabet(["abc \u00e9"]).symbols("a b").tolist()
+
+
+def test_many_languages_share_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 20) * 30} {chr(98 + i % 5) * 3000}", f"l{i % 40}") for i in range(200)] + [(500 + i, "same text again", "rep") for i in range(3000)], "doc_id long, text string, lang string")
+    got = langid.collect_samples(docs)
+    assert len(got) == 41 and got["rep"] == "same text again" and max(map(len, got.values())) <= 2 * langid.SAMPLES // 41 + langid.PASSAGE
+
+
 def test_language_held_out(spark, sf):
     got = QUERIES["op4_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
