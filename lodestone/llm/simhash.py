@@ -1,20 +1,20 @@
-"""SimHash near-duplicates by a grid join over segment popcounts.
+"""SimHash near-duplicates by a grid range-join over segment popcounts.
 
-A 64-bit fingerprint is embedded as the popcounts of its 32 two-bit segments.
+A 64-bit fingerprint is embedded as the popcounts of its 16 four-bit segments.
 The Manhattan distance of two embeddings never exceeds the Hamming distance of
-the fingerprints.  The 32 coordinates form five groups; two differing bits touch
-at most two of them, so linked fingerprints agree on at least three groups and
-meet in one of ten grid cells.  Inside a cell pairs are filtered by Manhattan
-distance and then verified bit by bit.  A cell with more than ``CELL`` distinct
-fingerprints is not paired at all: its members meet at their one-bit flips
-instead.  All members that share a flip lie within two bits of each other, and
-any two within two bits share one, so a star around the least member keeps every
-link of such a cell exactly, with 65 rows a member.
+the fingerprints.  Embeddings are points of an integer grid, and two points are
+within distance two exactly if some grid point is within one of both: the range
+join sends every fingerprint to its own point and to that point's neighbours,
+and what meets at a point is verified bit by bit.  A point at which more than
+``CELL`` distinct fingerprints meet is split by further coordinates, down to
+segments of one bit, where the Manhattan distance is the Hamming distance: all
+that meet there are within two bits of each other, so that a star around the
+least keeps every link exactly and no pairs are formed.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,11 @@ SEED = 42
 SHINGLE = 3
 #: Linked fingerprints differ in at most so many bits.
 RADIUS = 2
-#: Distinct fingerprints up to which a grid cell is paired off.
+#: Distinct fingerprints up to which those that meet at a grid point are paired off.
 CELL = 32
-#: Two-bit segments in each of the five coordinate groups.
-GROUPS = (7, 7, 6, 6, 6)
+#: Bits of a segment.
+SEGMENT = 4
 
-_LOW = 0x5555555555555555
 _CHUNK = 1 << 16
 
 
@@ -80,45 +79,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def segment_popcounts(fp: Column) -> Column:
-    """32 popcounts of two-bit segments, packed in two bits each."""
-    low, high = fp.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_LOW))
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    """The popcount of each four-bit segment, in the place of the segment."""
+    half = lambda x, shift, mask: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask))
+    low, high = half(fp, 0, 0x5555555555555555), half(fp, 1, 0x5555555555555555)
+    two = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    return half(two, 0, 0x3333333333333333) + half(two, 2, 0x3333333333333333)
 
 
-def manhattan(a: Column, b: Column) -> Column:
-    """Manhattan distance of two packed embeddings, whose digits are 0 to 2."""
-    x = a.bitwiseXOR(b)
-    low, high = x.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_LOW))
-    return F.bit_count(low) + 2 * F.bit_count(high) - 2 * F.bit_count(low.bitwiseAND(high))
-
-
-def _cell_masks() -> list[int]:
-    masks, at = [], 0
-    for n in GROUPS:
-        masks.append(((1 << 2 * n) - 1) << at)
-        at += 2 * n
-    return [_signed(sum(masks[i] for i in some)) for some in combinations(range(len(GROUPS)), len(GROUPS) - RADIUS)]
+def grid_points(emb: Column) -> Column:
+    """A packed embedding and its neighbours on the grid, as an array."""
+    at = [emb]
+    for shift in range(0, 64, SEGMENT):
+        digit = F.shiftrightunsigned(emb, shift).bitwiseAND(F.lit(15))
+        step = F.lit(_signed(1 << shift)).cast("long")
+        at += [F.when(digit < SEGMENT, emb.bitwiseXOR(step * digit).bitwiseOR(step * (digit + 1))), F.when(digit > 0, emb.bitwiseXOR(step * digit).bitwiseOR(step * (digit - 1)))]
+    return F.array_compact(F.array(*at))
 
 
 def fingerprint_links(reps: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (u, v) between ``rep`` ids whose fingerprints are within two bits.
 
     ``reps`` has one row (rep, fp) for each distinct fingerprint.  The edges
-    connect exactly the fingerprints that a chain of links connects; a crowded
-    cell contributes stars in place of all its pairs.
+    connect exactly the fingerprints that a chain of links connects; where many
+    meet there are stars in place of all their pairs.
     """
-    at = F.array(*[F.struct(F.lit(i).alias("grid"), F.col("emb").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_cell_masks())])
     points = reps.withColumn("emb", segment_popcounts(F.col("fp")))
-    spread = points.select("rep", "fp", "emb", F.explode(at).alias("c")).select("rep", "fp", "emb", "c.grid", "c.key")
-    met = spread.groupBy("grid", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(spread.join(met, ["grid", "key"]))
+    spread = points.select("rep", "fp", "emb", F.explode(grid_points(F.col("emb"))).alias("key"))
+    met = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(spread.join(met, "key"))
     few = shared.where(F.col("n") <= cell)
-    a = few.select("grid", "key", F.col("rep").alias("u"), F.col("fp").alias("fu"), F.col("emb").alias("eu"))
-    b = few.select("grid", "key", F.col("rep").alias("v"), F.col("fp").alias("fv"), F.col("emb").alias("ev"))
+    a = few.select("key", F.col("rep").alias("u"), F.col("fp").alias("fu"), F.col("emb").alias("eu"))
+    b = few.select("key", F.col("rep").alias("v"), F.col("fp").alias("fv"), F.col("emb").alias("ev"))
     near = (
-        a.join(b, ["grid", "key"])
+        a.join(b, "key")
         .where("u < v")
-        .where(manhattan(F.col("eu"), F.col("ev")) <= RADIUS)
+        .where("eu <> ev OR eu = key")  # one point has the same neighbours; once is enough
         .where(F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= RADIUS)
         .select("u", "v")
     )

@@ -355,6 +355,19 @@ def test_simhash(spark, sf, real):
         assert (got[doc_id]["fingerprint"], got[doc_id]["component_id"]) == (f"{p:016x}", real[r][0])
 
 
+def test_grid_points_meet_exactly_within_two(spark):
+    rng = np.random.default_rng(15)
+    prints = [int(x) for x in rng.integers(0, 1 << 63, 40)] + [0, (1 << 64) - 1]
+    prints += [p ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for p in prints[-12:] for k in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(i, simhash._signed(p)) for i, p in enumerate(prints)], "i int, fp long").withColumn("emb", simhash.segment_popcounts(F.col("fp")))
+    got = [set(r["at"]) for r in df.select("i", simhash.grid_points(F.col("emb")).alias("at")).orderBy("i").collect()]
+    digits = [[(p >> s & 15).bit_count() for s in range(0, 64, 4)] for p in prints]
+    for i in range(len(prints)):
+        for j in range(i):
+            apart = sum(abs(x - y) for x, y in zip(digits[i], digits[j], strict=True))
+            assert bool(got[i] & got[j]) == (apart <= 2) and apart <= (prints[i] ^ prints[j]).bit_count()
+
+
 def test_simhash_takes_rows_of_one_id_as_one_node(spark):
     docs = [(3, LONG), (5, LONG), (5, "one two three four"), (7, "one two three four"), (9, "five six seven"), (None, "five six seven")]
     got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
