@@ -3,14 +3,14 @@
 Each pair of a chosen and a rejected conversation is split at its longest common
 prefix of turns.  The prefix is rendered once as the prompt; what follows on
 either side is rendered as a completion with a mask that trains on the turns of
-the assistant and on nothing else.
+the assistant and on nothing else.  All turns of a pair meet in one shuffle, and
+what follows is one expression a pair.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: A turn is rendered as HEAD + role + MIDDLE + text + END.
 HEAD, MIDDLE, END = "<|", "|>\n", "\n<|end|>\n"
@@ -18,81 +18,91 @@ HEAD, MIDDLE, END = "<|", "|>\n", "\n<|end|>\n"
 TRAINED = "assistant"
 
 
-def _rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(HEAD), role, F.lit(MIDDLE), text, F.lit(END))
+def _rendered(turn: Column) -> Column:
+    return F.concat(F.lit(HEAD), turn["role"], F.lit(MIDDLE), turn["text"], F.lit(END))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, k, role, text): turns numbered from 0 within a conversation.
+def _turn(*first: Column) -> Column:
+    """A row as a struct that sorts by turn, a null one before all others, then by role and text."""
+    at = F.col("turn").cast("long")
+    return F.struct(*first, at.isNotNull().alias("known"), F.coalesce(at, F.lit(0).cast("long")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-    Nulls in role or text count as empty strings; rows with a null conv_id belong
-    to no conversation and are left out.  Repeated rows (all of conv_id, turn,
-    role and text) count once; different rows of one turn follow by role and text,
-    a null turn before all others.
-    """
-    rows = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.select("conv_id", (F.row_number().over(order) - 1).alias("k"), "role", "text")
+
+def _listed(rows: Column) -> Column:
+    """Such structs as an ordered array of (role, text)."""
+    return F.transform(F.array_sort(rows), lambda y: F.struct(y["role"].alias("role"), y["text"].alias("text")))
 
 
-def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each pair: prompt, two completions and two masks.
+def pair_turns(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, chosen_id, rejected_id and the turns of both: ``chosen``, ``rejected``.
 
     ``pairs``: pair_id, chosen, rejected (conv_ids; pair_id is unique).  A side
-    that is null or has no turns gives an empty completion.  A mask lists the
-    code point spans ``start:end`` of its completion that are trained on: text
-    and end mark of the assistant's turns.  Conversations that are equal have
-    all their turns in the prompt.  An empty table of pairs gives an empty result.
+    that is null or not in the table has no turns.  Nulls in role or text count
+    as empty strings; repeated rows (all of conv_id, turn, role and text) count
+    once; different rows of one turn follow by role and text, a null turn before
+    all others.
     """
-    t = turns(conversations)
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("chosen").alias("conv_id")), F.struct(F.lit(1).alias("side"), F.col("rejected").alias("conv_id")))).alias("s")).select("pair_id", "s.side", "s.conv_id")
-    both = sides.join(t, "conv_id")
-    # One row for a place in a pair: what each side has there.
-    side = lambda i, c: F.max(F.when(F.col("side") == i, F.col(c)))
-    at = both.groupBy("pair_id", "k").agg(side(0, "role").alias("r0"), side(0, "text").alias("t0"), side(1, "role").alias("r1"), side(1, "text").alias("t1"))
-    same = F.coalesce((F.col("r0") == F.col("r1")) & (F.col("t0") == F.col("t1")), F.lit(False))
-    held = F.struct("k", "r0", "t0", "r1", "t1", same.alias("same"))
-    whole = at.groupBy("pair_id").agg(F.array_sort(F.collect_list(held)).alias("x"))
-    differs = F.filter("x", lambda y: ~y["same"])
-    whole = whole.withColumn("prefix", F.when(F.size(differs) > 0, F.array_min(F.transform(differs, lambda y: y["k"]))).otherwise(F.size("x")))
-    out = [F.array_join(F.transform(F.filter("x", lambda y: y["k"] < F.col("prefix")), lambda y: _rendered(y["r0"], y["t0"])), "").alias("prompt")]
-    for i, name in enumerate(("chosen", "rejected")):
-        out.append(_rest(f"r{i}", f"t{i}").alias(f"{name}_turns"))
-    split = whole.select("pair_id", F.col("prefix").cast("int").alias("n_prompt_turns"), *out)
-    found = []
+    rows = conversations.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.collect_set(_turn()).alias("x")).select("conv_id", _listed(F.col("x")).alias("turns"))
+    sides = pairs.select("pair_id", F.col("chosen").alias("chosen_id"), F.col("rejected").alias("rejected_id"))
     for name in ("chosen", "rejected"):
-        found += [F.array_join(F.transform(f"{name}_turns", lambda y: _rendered(y["role"], y["text"])), "").alias(name), _mask(F.col(f"{name}_turns")).alias(f"{name}_mask")]
-    made = split.select("pair_id", "n_prompt_turns", "prompt", *found)
-    strings = ["prompt", "chosen", "chosen_mask", "rejected", "rejected_mask"]
-    ids = pairs.select("pair_id", F.col("chosen").alias("chosen_id"), F.col("rejected").alias("rejected_id"))
-    return ids.join(made, "pair_id", "left").select("pair_id", "chosen_id", "rejected_id", F.coalesce("n_prompt_turns", F.lit(0)).alias("n_prompt_turns"), *[F.coalesce(c, F.lit("")).alias(c) for c in strings])
+        own = rows.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(name))
+        sides = sides.join(own, f"{name}_id", "left")
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    return sides.select("pair_id", "chosen_id", "rejected_id", *[F.coalesce(n, none).alias(n) for n in ("chosen", "rejected")])
+
 
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """Pairs out of neighbours 2n and 2n + 1, as ``pair_turns`` gives them.
 
-def _rest(role: str, text: str) -> Column:
-    """The turns of one side that follow the prefix."""
-    rest = F.filter("x", lambda y: (y["k"] >= F.col("prefix")) & y[role].isNotNull())
-    return F.transform(rest, lambda y: F.struct(y[role].alias("role"), y[text].alias("text")))
+    Conversation 2n is chosen.  The rejected side is the same conversation, with
+    the last reply that its neighbour got in place of its own last reply, and
+    ends there; a neighbour without a reply leaves it out.  If 2n is not in the
+    table or has no reply, the neighbour itself is rejected.  Rows with a null
+    conv_id belong to no pair; others count as ``pair_turns`` says.
+    """
+    odd = F.pmod(F.col("conv_id").cast("long"), F.lit(2))
+    rows = conversations.where("conv_id IS NOT NULL").select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"), "conv_id", _turn(odd.alias("odd")).alias("y"))
+    side = lambda i: F.max(F.when(F.col("y.odd") == i, F.col("conv_id")))
+    met = rows.groupBy("pair_id").agg(side(0).alias("chosen_id"), side(1).alias("rejected_id"), F.collect_set("y").alias("x"))
+    own = met.select("pair_id", "chosen_id", "rejected_id", _listed(F.filter("x", lambda y: y["odd"] == 0)).alias("chosen"), _listed(F.filter("x", lambda y: y["odd"] == 1)).alias("other"))
+    replies = F.filter("other", lambda y: y["role"] == TRAINED)
+    # the number of turns up to the last reply, itself included; 0 without one
+    last = F.coalesce(F.array_max(F.transform("chosen", lambda y, i: F.when(y["role"] == TRAINED, i + 1))), F.lit(0))
+    swapped = F.concat(F.slice("chosen", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0))), F.slice(replies, F.greatest(F.size(replies), F.lit(1)), F.lit(1)))
+    rejected = F.when(F.col("last") > 0, swapped).otherwise(F.col("other"))
+    return own.withColumn("last", last).select("pair_id", "chosen_id", "rejected_id", "chosen", rejected.alias("rejected"))
+
+
+def format_preferences(sides: DataFrame) -> DataFrame:
+    """pair_id, chosen_id, rejected_id, n_prompt_turns, prompt, two completions and two masks.
+
+    ``sides``: pair_id, chosen_id, rejected_id, and the turns of both sides as
+    arrays of (role, text).  The prompt holds the longest common prefix; equal
+    turns later on don't count.  A side without turns gives an empty completion,
+    and so do two equal sides.  A mask lists the code point spans ``start:end``
+    of its completion that are trained on: text and end mark of the assistant's
+    turns.  An empty table gives an empty result.
+    """
+    same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
+    differs = F.array_position(same, False)
+    split = sides.withColumn("n_prompt_turns", F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int"))
+    n = F.col("n_prompt_turns")
+    joined = lambda x: F.array_join(F.transform(x, _rendered), "")
+    rest = lambda c: F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0)))
+    out = [joined(F.slice("chosen", F.lit(1), n)).alias("prompt")]
+    for c in ("chosen", "rejected"):
+        out += [joined(rest(c)).alias(c), _mask(rest(c)).alias(f"{c}_mask")]
+    return split.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", *out)
 
 
 def _mask(rest: Column) -> Column:
     """Spans of the trained turns of a list of turns, comma-joined."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 
     def add(acc: Column, y: Column) -> Column:
         text_at = acc["at"] + F.lit(len(HEAD) + len(MIDDLE)) + F.length(y["role"])
         end = text_at + F.length(y["text"]) + F.lit(len(END))
-        span = F.concat(F.when(acc["spans"] == "", "").otherwise(F.lit(",")), text_at.cast("string"), F.lit(":"), end.cast("string"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(y["role"] == TRAINED, span).otherwise("")).alias("spans"))
+        span = F.concat(text_at.cast("string"), F.lit(":"), end.cast("string"))
+        return F.struct(end.alias("at"), F.when(y["role"] == TRAINED, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(rest, start, add, lambda acc: acc["spans"])
-
-
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs of conversations 2n and 2n + 1: the even one is chosen.
-
-    The side of a conversation that isn't in the table is null.
-    """
-    ids = conversations.where("conv_id IS NOT NULL").select("conv_id").distinct()
-    pair = F.shiftright(F.col("conv_id").cast("long"), 1)
-    side = lambda i: F.max(F.when(F.pmod("conv_id", F.lit(2)) == i, F.col("conv_id")))
-    return ids.groupBy(pair.alias("pair_id")).agg(side(0).alias("chosen"), side(1).alias("rejected"))
+    return F.array_join(F.aggregate(rest, start, add, lambda acc: acc["spans"]), ",")

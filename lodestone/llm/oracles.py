@@ -9,11 +9,19 @@ p AS (
   SELECT conv_id >> 1 AS pair_id, max(CASE WHEN conv_id % 2 = 0 THEN conv_id END) AS chosen, max(CASE WHEN conv_id % 2 <> 0 THEN conv_id END) AS rejected
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
 ),
+c AS (SELECT pair_id, k, role, text FROM p JOIN t ON t.conv_id = p.chosen),
+b AS (SELECT pair_id, k, role, text FROM p JOIN t ON t.conv_id = p.rejected),
+lc AS (SELECT pair_id, max(k) AS k FROM c WHERE role = 'assistant' GROUP BY 1),
+lb AS (SELECT pair_id, max(k) AS k FROM b WHERE role = 'assistant' GROUP BY 1),
+r AS (
+  SELECT c.* FROM c JOIN lc ON lc.pair_id = c.pair_id WHERE c.k < lc.k
+  UNION ALL SELECT b.pair_id, lc.k, b.role, b.text FROM b JOIN lb ON lb.pair_id = b.pair_id AND lb.k = b.k JOIN lc ON lc.pair_id = b.pair_id
+  UNION ALL SELECT b.* FROM b WHERE b.pair_id NOT IN (SELECT pair_id FROM lc)
+),
 a AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.k, r.k) AS k, c.role AS r0, c.text AS t0, r.role AS r1, r.text AS t1,
          coalesce(c.role = r.role AND c.text = r.text, false) AS same
-  FROM (SELECT pair_id, t.* FROM p JOIN t ON t.conv_id = p.chosen) c
-  FULL JOIN (SELECT pair_id, t.* FROM p JOIN t ON t.conv_id = p.rejected) r ON c.pair_id = r.pair_id AND c.k = r.k
+  FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.k = r.k
 ),
 x AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN k END), max(k) + 1) AS n FROM a GROUP BY 1),
 e AS (

@@ -43,8 +43,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = table(spark, sf_dir, "conversations")
-    return chat.format_preferences(talks, chat.neighbour_pairs(talks))
+    return chat.format_preferences(chat.swapped_replies(table(spark, sf_dir, "conversations")))
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,9 +60,12 @@ def test_every_operator_takes_awkward_and_empty_tables(spark, odd):
         assert exact_dedup.remove_repeats(docs).count() == n
         assert mixing.mix(docs, docs.select("text", F.col("lang").alias("domain")), mixing.TARGETS).count() >= n
         assert packing.pack_documents(docs, tokenizer_path()).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    out = chat.format_preferences(talks, chat.neighbour_pairs(talks)).orderBy("pair_id").collect()
+    out = chat.format_preferences(chat.swapped_replies(talks)).orderBy("pair_id").collect()
     assert [(r["pair_id"], r["chosen_id"], r["rejected_id"]) for r in out] == [(0, 0, None), (1, None, 3)]
-    assert chat.format_preferences(talks.limit(0), chat.neighbour_pairs(talks.limit(0))).count() == 0
+    assert chat.format_preferences(chat.swapped_replies(talks.limit(0))).count() == 0
+    pairs = spark.createDataFrame([(7, 0, 99), (8, None, 3)], "pair_id long, chosen long, rejected long")
+    out = chat.format_preferences(chat.pair_turns(talks, pairs)).orderBy("pair_id").collect()
+    assert [(r["n_prompt_turns"], r["chosen"], r["rejected_mask"]) for r in out] == [(0, "<||>\n\n<|end|>\n", ""), (0, "", "14:23")]
 
 
 def test_quality_counts(spark, sf, real):
@@ -88,6 +91,53 @@ def test_quality_verdict(spark, sf):
     assert bad.where("kept").count() <= 0.2 * bad.count()
 
 
+def plain_preference(chosen, rejected):
+    n = 0
+    while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+        n += 1
+    out = [n, "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in chosen[:n])]
+    for side in (chosen[n:], rejected[n:]):
+        text, mask = "", []
+        for role, t in side:
+            text += f"<|{role}|>\n"
+            a = len(text)
+            text += f"{t}\n<|end|>\n"
+            mask += [f"{a}:{len(text)}"] * (role == "assistant")
+        out += [text, ",".join(mask)]
+    return tuple(out)
+
+
+def test_preferences_against_the_plain_form(spark):
+    rng = np.random.default_rng(16)
+    turn = lambda: (str(rng.choice(["user", "assistant", "system", ""])), "é\U0001f600" * int(rng.integers(0, 3)) + str(rng.integers(0, 3)))
+    sides = []
+    for i in range(60):
+        shared = [turn() for _ in range(int(rng.integers(0, 5)))]
+        a, b = (shared + [turn() for _ in range(int(rng.integers(0, 3)))] for _ in range(2))
+        sides.append((i, a, shared if i % 10 == 0 else a if i % 10 == 1 else b))
+    sides += [(100, [("user", "x" * 200_000), ("assistant", "y")], [("user", "x" * 200_000), ("assistant", "z")]), (101, [], []), (102, [("user", "a"), ("assistant", "b"), ("user", "a")], [("user", "a"), ("user", "a"), ("assistant", "b")])]
+    rows = [(2 * i + s, k, r, t) for i, *both in sides for s, side in enumerate(both) for k, (r, t) in enumerate(side)]
+    talks = spark.createDataFrame(rows + rows[:40], "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(i, 2 * i, 2 * i + 1) for i, *_ in sides], "pair_id long, chosen long, rejected long")
+    got = {r["pair_id"]: r for r in chat.format_preferences(chat.pair_turns(talks, pairs)).collect()}
+    for i, a, b in sides:
+        r = got[i]
+        assert (r["n_prompt_turns"], r["prompt"], r["chosen"], r["chosen_mask"], r["rejected"], r["rejected_mask"]) == plain_preference(a, b)
+    assert {got[i]["n_prompt_turns"] for i, *_ in sides} >= {0, 1, 2, 3}
+
+
+def test_swapped_replies(spark, sf):
+    u, a = (lambda t: ("user", t)), (lambda t: ("assistant", t))
+    talks = {0: [u("q"), a("r"), u("q2"), a("r2"), u("bye")], 1: [u("z"), a("s")], 2: [u("q"), a("r")], 3: [u("z")], 4: [u("q")], 5: [u("q"), a("r")], 7: [a("r")], 8: [u("q"), a("r")], 10: [u("q"), a("r")], 11: [a("n"), a("r")]}
+    df = spark.createDataFrame([(c, k, r, t) for c, turns in talks.items() for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    want = {0: (talks[0], talks[0][:3] + [a("s")]), 1: (talks[2], [u("q")]), 2: (talks[4], talks[5]), 3: ([], talks[7]), 4: (talks[8], [u("q")]), 5: (talks[10], talks[10])}
+    got = {r["pair_id"]: tuple([tuple(y) for y in r[c]] for c in ("chosen", "rejected")) for r in chat.swapped_replies(df).collect()}
+    assert got == want
+    found = QUERIES["op5_chat_formatting"](spark, sf)
+    assert 2 * found.where("n_prompt_turns > 0").count() > found.count()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_secrets():
     text = 'cfg = {"db_password": "hunter2hunter2"}\nX = "s3cr3tV4lue99"\nclient_secret = X\nAPI-key: zzz token=abcde password : token=abcdefg'
     kinds = {(k, text[a:b]) for a, b, k in secrets.spans(text)}
