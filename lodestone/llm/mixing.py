@@ -11,6 +11,7 @@ each domain and iteration.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,8 @@ BUCKETS = 4096
 SMOOTHING = 0.5
 #: The evidence of a longer document counts as that of so many words.
 EVIDENCE = 40
-#: Iterations at most, and the largest relative miss of a target to stop at.
-ROUNDS, TOLERANCE = 60, 1e-6
+#: Iterations at most, the largest relative miss of a target to stop at, and the rounds after which rates are written.
+ROUNDS, TOLERANCE, WRITTEN = 200, 1e-6, 8
 #: Without a given total, the total grows while a round leaves less than this part of the miss.
 GAIN = 0.95
 #: A domain with less than this share of all expected tokens counts as absent.
@@ -88,7 +89,10 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
     domain must give up expected tokens and grows by what documents of several
     domains, raised for one of them, add to the others.  Rows of one doc_id are one
     document (null ids too) and get one row.  Documents without a word get
-    n_tokens 0, rate 1 and null posteriors.  An empty table gives an empty result.
+    n_tokens 0, rate 1 and null posteriors.  A domain with less than LEAST_SHARE of
+    all expected tokens can't be raised to a target and counts as absent; that, and
+    targets that are missed by more than a thousandth at the end, give a warning.
+    An empty table gives an empty result.
     """
     domains = [d for d, w in targets.items() if w > 0]
     if not domains:
@@ -103,7 +107,14 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
     aim = {i: targets[domains[i]] / weight for i in here}
     size = total / n if total is not None and n else max((share[i] / aim[i] for i in here), default=1.0)
     rate, least, growing, missed = F.lit(1.0), float(total is None), total is None, float("inf")
-    for _ in range(rounds if here else 0):
+    miss = 0.0
+    absent = [domains[i] for i in range(k) if i not in here]
+    if n and absent:
+        warnings.warn(f"no documents to speak of for {', '.join(absent)}: their targets are left out", stacklevel=2)
+    for done in range(rounds if here else 0):
+        if done and done % WRITTEN == 0:  # the rates so far become a column, so that no expression outgrows the plan
+            members = cut(members.withColumn("rate", rate))
+            rate = F.col("rate")
         now = _sums(members, rate, k)[1:]
         if growing:  # no domain is over its target, so that all rates only rise
             size = max(size, max(now[i] / n / aim[i] for i in here))
@@ -115,6 +126,8 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
         growing, missed = growing and miss < GAIN * missed, miss
         # Rows are weighted by 1 / share and rates by tokens; the step of one is then safe.
         rate = F.greatest(F.lit(least), rate - sum((F.col(f"p{i}") * F.lit(o) for i, o in off.items()), F.lit(0.0)))
+    if miss > 1e-3:
+        warnings.warn(f"the targets are missed by up to {miss:.3g} of their size", stacklevel=2)
     rated = members.select("doc_id", "n_tokens", rate.alias("rate"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)])
     ids = docs.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
     joined = ids.join(rated, F.col("id").eqNullSafe(F.col("doc_id")), "left")

@@ -84,6 +84,29 @@ def test_quality_counts(spark, sf, real):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_quality_ratio_against_plain_counts(spark):
+    rng = np.random.default_rng(19)
+    docs = [(i, " ".join(rng.choice([f"w{k}" for k in range(40 if i % 2 else 20)], int(rng.integers(0, 90))))) for i in range(60)] + [(60, None), (61, " \n"), (62, "one")]
+    good = {i for i in range(0, 60, 3)} | {62, 999}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(quality.judge(df, spark.createDataFrame([(i,) for i in good] + [(0,), (None,)], "doc_id long")))
+    grams = {i: [(w,) for w in (t or "").split()] + list(zip((t or "").split(), (t or "").split()[1:], strict=False)) for i, t in docs}
+    every = sorted({g for v in grams.values() for g in v})
+    frame = spark.createDataFrame([(k, *g, *[None] * (2 - len(g))) for k, g in enumerate(every)], "k int, a string, b string")
+    bucket = F.pmod(F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64(F.lit(2), "a", "b")), F.lit(quality.BUCKETS))
+    at = {every[r["k"]]: r["x"] for r in frame.select("k", bucket.alias("x")).collect()}
+    raw, trusted = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for i, v in grams.items():
+        for g in v:
+            raw[at[g]] += 1
+            trusted[at[g]] += i in good
+    weight = np.log(trusted / trusted.sum()) - np.log(raw / raw.sum())
+    for i, v in grams.items():
+        want = np.mean([weight[at[g]] for g in v]) if v else None
+        assert got[i]["log_ratio"] == (None if want is None else pytest.approx(want, abs=1e-9))
+        assert got[i]["kept"] == (not got[i]["base_failed"] and want is not None and want >= quality.THRESHOLD)
+
+
 def test_quality_verdict(spark, sf):
     got = QUERIES["op1_quality_rules"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed")
     good, bad = got.where("quality = 1"), got.where("quality = 0")
@@ -200,6 +223,24 @@ def test_factorization_machine_learns_a_pair():
     assert np.mean(np.array(p) == np.array(y)) > 0.97
 
 
+def test_toxicity_against_all_pairs(spark):
+    rng = np.random.default_rng(18)
+    words = ["vile", "slur", "group", "kind", "Word", "\u00e9t\u00e9", "x1y", "don't"] + [f"w{chr(97 + i)}" for i in range(20)]
+    docs = [(i, " ".join(rng.choice(words, int(rng.integers(0, 12))).tolist())) for i in range(200)] + [(200, None), (201, ""), (202, "vile " * 5000)]
+    labels = [(i, int("vile" in t and "group" in t)) for i, t in docs[:200]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # without the penalty that clears factors of so few rows
+    model = toxicity.train([np.array(toxicity.buckets(t), "<i4") for _, t in docs[:200]], [y for _, y in labels], l1_pairs=0.0)
+    assert len(model.rows) > 5 and np.abs(model.v).max() > 0.01
+    got = rows(toxicity.score(df, model))
+    for i, text in docs:
+        # a term: a run of letters and of whatever isn't ASCII
+        terms = {t.encode() for t in re.findall(r"[a-z\u0080-\U0010ffff]+", (text or "").lower())}
+        at = sorted({model.rows[b] for b in {zlib.crc32(t) % (1 << toxicity.BITS) for t in terms} if b in model.rows})
+        z = model.bias + sum(model.w[a] for a in at) + sum(model.v[a] @ model.v[b] for k, a in enumerate(at) for b in at[:k])
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_toxicity_held_out(spark, sf):
     folder = sf.replace("sf0.001", "sf0.01")
     got = QUERIES["op3_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
@@ -554,6 +595,46 @@ def test_mixing_meets_its_targets(spark, sf):
     assert all(r["rate"] >= 0 and r["copies"] in (int(r["rate"] + 1e-3), int(r["rate"]) + 1) for r in got)
 
 
+@pytest.mark.parametrize("total", [None, 500.0])
+def test_mixing_against_numpy(spark, total):
+    rng = np.random.default_rng(17)
+    vocabulary = {d: [f"{d}{i}" for i in range(30)] + ["both"] * 6 for d in ("en", "fr", "de")}
+    docs = [(i, " ".join(rng.choice(vocabulary[d], int(rng.integers(1, 60))).tolist() + rng.choice(vocabulary["fr"], int(rng.integers(0, 6))).tolist()), d) for i, d in enumerate(rng.choice(["en", "en", "en", "fr", "de"], 120).tolist())]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    targets = {"en": 0.4, "fr": 0.35, "de": 0.25}
+    got = rows(mixing.document_rates(df, df.select("text", F.col("lang").alias("domain")), targets, total=total))
+    words = sorted({w for _, t, _ in docs for w in t.split()})
+    hashed = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    names = list(targets)
+    table = np.full((mixing.BUCKETS, 3), mixing.SMOOTHING)
+    for _, t, d in docs:
+        for w in t.split():
+            table[hashed[w], names.index(d)] += 1
+    log_p = np.log(table / table.sum(axis=0))
+    size = np.array([len(t.split()) for _, t, _ in docs], float)
+    logits = np.array([log_p[[hashed[w] for w in t.split()]].sum(axis=0) * min(mixing.EVIDENCE, len(t.split())) / len(t.split()) for _, t, _ in docs])
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    assert np.allclose([[got[i][f"p_{d}"] for d in names] for i in range(120)], p, atol=1e-9)
+    rate = np.array([got[i]["rate"] for i in range(120)])
+    mass = (size * rate) @ p
+    aim = np.array(list(targets.values()))
+    assert np.allclose(mass / mass.sum(), aim, atol=1e-5) and rate.min() >= (1.0 if total is None else 0.0)
+    if total is not None:  # least squares from rate 1: the same projected steps in NumPy
+        assert mass.sum() == pytest.approx(total, rel=1e-5)
+        share, r = size @ p / size.sum(), np.ones(120)
+        for _ in range(2000):
+            off = ((size * r) @ p / size.sum() - aim * total / size.sum()) / share
+            r = np.maximum(0, r - p @ off)
+        assert np.allclose(r, rate, atol=1e-3)
+
+
+def test_mixing_says_what_it_missed(spark):
+    docs = spark.createDataFrame([(i, "the la", "en" if i % 3 else "fr") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="missed by up to"):
+        mixing.document_rates(docs, docs.select("text", F.col("lang").alias("domain")), {"en": 0.2, "fr": 0.8}).collect()
+
+
 def test_mixing_drops_no_document_for_soft_ones(spark):
     pure = [(i, f"the and of with house{i % 7}", "en") for i in range(400)] + [(400 + i, f"le la et avec maison{i % 7}", "fr") for i in range(40)]
     soft = [(500 + i, "the la of avec" if i % 3 else "the et", "fr" if i % 2 else "en") for i in range(80)]
