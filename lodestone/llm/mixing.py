@@ -31,6 +31,8 @@ EVIDENCE = 40
 ROUNDS, TOLERANCE, WRITTEN = 200, 1e-6, 8
 #: Without a given total, the total grows while a round leaves less than this part of the miss.
 GAIN = 0.95
+#: The search ends when a round leaves more than this part of the squared misses.
+SETTLED = 0.9999
 #: A domain with less than this share of all expected tokens counts as absent.
 LEAST_SHARE = 1e-6
 #: Shares of the token total that the registered query and the pipeline aim at.
@@ -107,7 +109,7 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
     aim = {i: targets[domains[i]] / weight for i in here}
     size = total / n if total is not None and n else max((share[i] / aim[i] for i in here), default=1.0)
     rate, least, growing, missed = F.lit(1.0), float(total is None), total is None, float("inf")
-    miss = 0.0
+    miss, lost = 0.0, float("inf")
     absent = [domains[i] for i in range(k) if i not in here]
     if n and absent:
         warnings.warn(f"no documents to speak of for {', '.join(absent)}: their targets are left out", stacklevel=2)
@@ -122,6 +124,10 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, f
         miss = max(abs(o) * share[i] / (aim[i] * size) for i, o in off.items())
         if miss <= tolerance:
             break
+        loss = sum(o * o * share[i] for i, o in off.items())
+        if not growing and loss > SETTLED * lost:
+            break
+        lost = loss if not growing else float("inf")
         # Targets that no rates reach would let the total grow without end.
         growing, missed = growing and miss < GAIN * missed, miss
         # Rows are weighted by 1 / share and rates by tokens; the step of one is then safe.
