@@ -10,19 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where nothing names one
-    (tests, a laptop) is a temporary folder set.
+    A cluster names it in ``spark.checkpoint.dir``.  Where nothing names one, a
+    local session (tests, a laptop) gets a temporary folder, and any other raises
+    RuntimeError: its executors would not find a folder of the driver.
     """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not known and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = known or tempfile.mkdtemp(prefix="lodestone-checkpoints-")
     sc.setCheckpointDir(folder)
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there on.
 

@@ -115,6 +115,25 @@ def test_csv_in_and_out(spark, tmp_path):
         load_source(spark, {"table": "t"})
 
 
+def test_a_cluster_must_name_its_checkpoint_folder(tmp_path, spark):
+    from types import SimpleNamespace as Plain
+
+    from lodestone.plans.lineage import ensure_checkpoint_dir, remove_folder
+
+    def session(master, known):
+        none = Plain(isDefined=lambda: False)
+        sc = Plain(master=master, setCheckpointDir=lambda f: None, _jsc=Plain(sc=lambda: Plain(getCheckpointDir=lambda: none)))
+        return Plain(sparkContext=sc, conf=Plain(get=lambda k, d: known))
+
+    assert ensure_checkpoint_dir(session("yarn", "hdfs:///c")) == "hdfs:///c"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session("spark://host:7077", None))
+    (tmp_path / "x").mkdir()
+    remove_folder(spark, str(tmp_path / "x"))
+    remove_folder(spark, str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
+
+
 def test_row_positions(spark):
     rows = with_index(spark.range(1000, numPartitions=7))
     assert [r["__idx"] for r in rows.orderBy("id").collect()] == list(range(1000))
