@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, packing, secrets, simhash, toxicity
 from lodestone.llm.common import table, tokenizer_path
-from lodestone.plans.lineage import ensure_checkpoint_dir
+from lodestone.plans.lineage import ensure_checkpoint_dir, remove_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder."""
+    """All stages over ``documents``; each result is written to the shared folder.
+
+    What a stage wrote goes once the next one is written; the last result stays.
+    """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
