@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,19 @@ from lodestone.plans.specs import PairSpec, Settings
 TIERS = ("3gram", "last3", "word1", "wordN", "2gram", "first", "fallback")
 
 
+def affix(strategy: str) -> tuple[str, int] | None:
+    """Side and length of the strategies ``prefix_N`` and ``suffix_N``, None for others."""
+    m = re.fullmatch(r"(prefix|suffix)_([1-9]\d?)", strategy)
+    return (m.group(1), int(m.group(2))) if m else None
+
+
 def blocking_keys(value: Column, strategies: Sequence[str]) -> Column:
-    """Array of (grp, frag) keys of one cleaned value; empty for a blank one."""
+    """Array of (grp, frag) keys of one cleaned value; empty for a blank one.
+
+    Beside the named strategies there are ``prefix_N`` and ``suffix_N``, the first
+    or last N characters of values that have as many: long ones stay selective as
+    a table grows.
+    """
     n, words = F.length(value), F.filter(F.split(value, " "), lambda w: w != "")
     head = F.substring(value, 1, 1)
     first = F.when(head.rlike(r"[\p{L}\p{N}]"), head).otherwise(F.lit("#"))
@@ -32,6 +44,11 @@ def blocking_keys(value: Column, strategies: Sequence[str]) -> Column:
         "word_prefix": [key("word1", F.substring(start, 1, 2), F.length(start) >= 2), key("word1", F.substring(start, 1, 3), F.length(start) >= 3)],
         "word_suffix": [key("wordN", F.substring(end, 1, 2), (F.size(words) > 1) & (F.length(end) >= 2))],
     }
+    for s in strategies:
+        if found := affix(s):
+            side, size = found
+            part = F.substring(value, 1, size) if side == "prefix" else F.right(value, F.lit(size))
+            made[s] = [key(s, part, n >= size)]
     keys = F.array_compact(F.array(*[k for s in strategies for k in made[s]])) if strategies else None
     fallback = F.array(F.struct(F.lit("fallback").alias("grp"), first.alias("frag")))
     keys = F.when(F.size(keys) > 0, F.array_distinct(keys)).otherwise(fallback) if keys is not None else fallback
@@ -45,6 +62,16 @@ def key_table(df: DataFrame, columns: Sequence[str], strategies: Sequence[str])
     return df.select("__idx", F.explode(F.concat(*parts)).alias("k")).select("k.pair", "k.grp", "k.frag", "__idx")
 
 
+def _keyed(specs: Sequence[PairSpec], settings: Settings) -> list[PairSpec]:
+    """The column pairs that give blocking keys."""
+    if settings.blocking_columns is None:
+        return list(specs)
+    unknown = set(settings.blocking_columns) - {s.left for s in specs}
+    if unknown:
+        raise ValueError(f"blocking_columns that are not compared: {', '.join(sorted(unknown))}")
+    return [s for s in specs if s.left in settings.blocking_columns]
+
+
 def _tag(pair: int):
     return lambda k: F.struct(F.lit(pair).alias("pair"), k["grp"].alias("grp"), k["frag"].alias("frag"))
 
@@ -95,8 +122,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, specs: Sequence[PairSpec]
     """
     if not settings.use_blocking:
         return _all_pairs(left.select("__idx"), right, settings, None)
-    right_keys = cap_blocks(key_table(right, [s.right for s in specs], settings.blocking_strategies), settings.max_block_size, settings.skip_high_cardinality)
-    left_keys = key_table(left, [s.left for s in specs], settings.blocking_strategies)
+    right_keys = cap_blocks(key_table(right, [s.right for s in _keyed(specs, settings)], settings.blocking_strategies), settings.max_block_size, settings.skip_high_cardinality)
+    left_keys = key_table(left, [s.left for s in _keyed(specs, settings)], settings.blocking_strategies)
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("grp"))
     met = left_keys.withColumnRenamed("__idx", "idx1").join(right_keys.withColumnRenamed("__idx", "idx2"), ["pair", "grp", "frag"])
     pairs = met.groupBy("idx1", "idx2").agg(F.min(tier).alias("tier")) if settings.max_candidates else met.select("idx1", "idx2").distinct()
@@ -133,7 +160,7 @@ def self_pairs(df: DataFrame, specs: Sequence[PairSpec], settings: Settings) ->
     ids = df.select("__idx")
     if not settings.use_blocking:
         return _all_pairs(ids, ids, settings, None).where("idx1 < idx2")
-    keys = cap_blocks(key_table(df, [s.left for s in specs], settings.blocking_strategies), settings.max_block_size, settings.skip_high_cardinality)
+    keys = cap_blocks(key_table(df, [s.left for s in _keyed(specs, settings)], settings.blocking_strategies), settings.max_block_size, settings.skip_high_cardinality)
     met = keys.withColumnRenamed("__idx", "idx1").join(keys.withColumnRenamed("__idx", "idx2"), ["pair", "grp", "frag"]).where("idx1 < idx2")
     pairs = met.select("idx1", "idx2").distinct()
     alone = ids.join(pairs.select(F.col("idx1").alias("__idx")).distinct(), "__idx", "left_anti")

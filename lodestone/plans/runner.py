@@ -23,7 +23,7 @@ def run(spark: SparkSession, config: Mapping[str, Any], record: Mapping | None =
     credentials, s3 = config.get("mysql_credentials"), config.get("s3_credentials")
 
     def source(name: str) -> DataFrame:
-        return load_source(spark, config[name], credentials, s3)
+        return load_source(spark, config[name], credentials, s3, multi_line=bool(config.get("multi_line_csv")))
 
     if mode == "clustering":
         section = config.get("clustering", {})

@@ -52,6 +52,7 @@ class Settings:
     perfect_match_threshold: float = 0.99
     use_blocking: bool = True
     blocking_strategies: tuple[str, ...] = ("first_char", "three_gram", "last_three")
+    blocking_columns: tuple[str, ...] | None = None  #: Left columns that give keys; without it all compared ones.
     max_block_size: int | None = None
     skip_high_cardinality: bool = True
     max_candidates: int | None = None
@@ -63,8 +64,9 @@ class Settings:
     def of(cls, section: Mapping | None) -> Settings:
         section = dict(section or {})
         known = {k: section.pop(k) for k in list(section) if k in cls.__dataclass_fields__ and k != "extra"}
-        if "blocking_strategies" in known:
-            known["blocking_strategies"] = tuple(known["blocking_strategies"])
+        for k in ("blocking_strategies", "blocking_columns"):
+            if known.get(k) is not None:
+                known[k] = tuple(known[k])
         return cls(**known, extra=section)
 
     def match_fallback(self) -> int:

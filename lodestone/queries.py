@@ -48,8 +48,10 @@ COLUMNS = [
     {"source1": "phone", "source2": "phone", "weight": 0.2, "algorithm": "levenshtein"},
     {"source1": "balance", "source2": "balance", "weight": 0.1},
 ]
-SETTINGS = Settings(threshold=0.85, blocking_strategies=("last_three", "three_gram"), max_block_size=60)
-CLUSTER_SETTINGS = Settings(threshold=0.85, blocking_strategies=("last_three",), max_block_size=120)
+#: Keys of a whole local phone number, which need no cap: blocks stay small as the table grows.
+SETTINGS = Settings(threshold=0.85, blocking_columns=("phone",), blocking_strategies=("suffix_8",))
+#: Rows that meet no later row stay by themselves; ``cluster_fallback`` compares them.
+CLUSTER_SETTINGS = Settings(threshold=0.85, blocking_columns=("phone",), blocking_strategies=("suffix_8",), fallback_rows=0)
 RECORD = {"full_name": "bill brown", "email": "brown8@mail3.com", "phone": "555 352 7832"}
 
 
@@ -169,7 +171,7 @@ def match_best(spark, d):
 
 
 def match_all(spark, d):
-    settings = Settings(**{**SETTINGS.__dict__, "return_all_matches": True, "threshold": 0.7, "undecided_range": 0.1, "fallback_rows": 0})
+    settings = Settings(**{**SETTINGS.__dict__, "return_all_matches": True, "threshold": 0.7, "undecided_range": 0.1})
     return _rounded(match(people(spark, d), typed(spark, d), COLUMNS, settings, "id", "id"))
 
 
@@ -184,6 +186,29 @@ def match_unblocked(spark, d):
     return _rounded(match(n, r, columns, Settings(threshold=0.3, use_blocking=False, return_all_matches=True), "id", "id"))
 
 
+def match_fallback(spark, d):
+    """Nations that meet no region in any block are compared with all of them."""
+    n = _read(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS label")
+    r = _read(spark, d, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS id", "r_name AS label")
+    columns = [{"source1": "label", "source2": "label", "algorithm": "levenshtein"}]
+    settings = Settings(threshold=0.2, undecided_range=0.1, blocking_strategies=("first_char",), return_all_matches=True)
+    return _rounded(match(n, r, columns, settings, "id", "id"))
+
+
+def _nations(spark, d, **how):
+    n = _read(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS label")
+    return cluster(n, [{"column": "label", "algorithm": "levenshtein"}], Settings(threshold=0.4, **how), "id")
+
+
+def cluster_unblocked(spark, d):
+    return _nations(spark, d, use_blocking=False)
+
+
+def cluster_fallback(spark, d):
+    """Nations that meet no later one in any block are compared with all later ones."""
+    return _nations(spark, d, blocking_strategies=("last_three",))
+
+
 def search_record(spark, d):
     columns = [{"source1": "full_name", "source2": "full_name", "algorithm": "jaro_winkler"}, {"source1": "email", "source2": "email", "algorithm": "levenshtein"}, {"source1": "phone", "source2": "phone", "algorithm": "levenshtein"}]
     return _rounded(search(RECORD, typed(spark, d), columns, Settings(threshold=0.5), 10, "id"))
@@ -196,8 +221,7 @@ def both_tables(spark, d):
 
 def _clusters(spark, d):
     columns = [{"column": "name", "weight": 0.4, "algorithm": "jaro_winkler"}, {"column": "email", "weight": 0.3, "algorithm": "levenshtein"}, {"column": "phone", "weight": 0.3, "algorithm": "levenshtein"}]
-    settings = Settings(**{**CLUSTER_SETTINGS.__dict__, "fallback_rows": 0})
-    return cluster(both_tables(spark, d), columns, settings, "id")
+    return cluster(both_tables(spark, d), columns, CLUSTER_SETTINGS, "id")
 
 
 def cluster_people(spark, d):
@@ -229,7 +253,7 @@ def match_distribution(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        match_best, match_all, match_labels, match_unblocked, match_distribution, evaluate_matches, search_record,
+        match_best, match_all, match_labels, match_unblocked, match_fallback, cluster_unblocked, cluster_fallback, match_distribution, evaluate_matches, search_record,
         cluster_people, cluster_report, cluster_histogram, cluster_largest, clean_load, normalizers,
         similarity_levenshtein, similarity_jaro_winkler, similarity_numeric, similarity_date, similarity_token_ratios,
         semantic_types, query_mapping, blocking_keys, blocking_sizes, blocking_statistics,
@@ -310,7 +334,7 @@ def _match_sql(threshold: float, band: float, every: bool) -> str:
     label = f"CASE WHEN o >= {high!r} THEN 'accept' WHEN o <= {low!r} THEN 'reject' ELSE 'undecided' END"
     names = ["name", "email", "phone", "balance"]
     return (
-        f"{_BASE}, {_pairs_sql(['name', 'email', 'phone', 'CAST(balance AS VARCHAR)'], ['full_name', 'email', 'phone', 'CAST(balance AS VARCHAR)'], 60)}, "
+        f"{_BASE}, pairs AS (SELECT p.id AS idx1, t.id AS idx2 FROM p JOIN t ON right(p.phone, 8) = right(t.phone, 8) WHERE length(p.phone) >= 8 AND length(t.phone) >= 8), "
         f"sc AS (SELECT idx1, idx2, {scores} FROM pairs JOIN p ON p.id = idx1 JOIN t ON t.id = idx2), ov AS (SELECT *, {mean} AS o FROM sc), "
         f"m AS (SELECT p.id AS source1_id, p.name AS source1_name, p.email AS source1_email, p.phone AS source1_phone, p.balance AS source1_balance, "
         "t.id AS source2_id, t.full_name AS source2_full_name, t.email AS source2_email, t.phone AS source2_phone, t.balance AS source2_balance, "
@@ -321,11 +345,9 @@ def _match_sql(threshold: float, band: float, every: bool) -> str:
 
 
 _BEST = _match_sql(0.85, 0.05, False)
-_CL_KEYS = " UNION ALL ".join(f"SELECT {i} AS pair, right({c}, 3) AS frag, id FROM u WHERE length({c}) >= 3" for i, c in enumerate(["name", "email", "phone"]))
 _CLUSTER = (
     f"WITH RECURSIVE {_TABLES}, {_P}, {_T}, u AS (SELECT id * 2 AS id, name, email, phone FROM p UNION ALL SELECT id * 2 + 1, full_name, email, phone FROM t), "
-    f"k0 AS ({_CL_KEYS}), k AS (SELECT * FROM k0 QUALIFY count(*) OVER (PARTITION BY pair, frag) <= 120), "
-    "c AS (SELECT DISTINCT a.id AS i, b.id AS j FROM k a JOIN k b ON a.pair = b.pair AND a.frag = b.frag AND a.id < b.id), "
+    "c AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON right(a.phone, 8) = right(b.phone, 8) AND a.id < b.id WHERE length(a.phone) >= 8 AND length(b.phone) >= 8), "
     "e AS (SELECT i, j FROM c JOIN u a ON a.id = i JOIN u b ON b.id = j WHERE (0.4 * "
     f"(CASE WHEN a.name = '' OR b.name = '' THEN 0.0 ELSE jaro_winkler_similarity({_name_sql('a.name')}, {_name_sql('b.name')}) END) + 0.3 * ({_lev('a.email', 'b.email')}) + 0.3 * "
     f"({_lev('(' + _PHONE.format('a.phone') + ')', '(' + _PHONE.format('b.phone') + ')')})) / (0.4 + 0.3 + 0.3) >= 0.85), "
@@ -334,6 +356,20 @@ _CLUSTER = (
     "roots AS (SELECT node AS id, min(r) AS root FROM reach GROUP BY 1), "
     "cl AS (SELECT id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS cluster_id, count(*) OVER (PARTITION BY root) AS cluster_size FROM roots) "
 )
+def _nations_sql(met: str) -> str:
+    """Clusters of nations; ``met`` is the condition on i and j under which blocks bring them together."""
+    return (
+        "WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, lower(n_name) AS label FROM nation), "
+        f"m AS (SELECT i.id AS i, j.id AS j FROM n i JOIN n j ON i.id < j.id WHERE {met}), "
+        "c AS (SELECT i, j FROM m UNION SELECT i.id, j.id FROM n i JOIN n j ON i.id < j.id WHERE i.id NOT IN (SELECT i FROM m)), "
+        f"e AS (SELECT c.i, c.j FROM c JOIN n a ON a.id = c.i JOIN n b ON b.id = c.j WHERE {_lev('a.label', 'b.label')} >= 0.4), "
+        "both_ways AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e), "
+        "reach(node, r) AS (SELECT id, id FROM n UNION SELECT b.j, reach.r FROM reach JOIN both_ways b ON b.i = reach.node), "
+        "roots AS (SELECT node AS id, min(r) AS root FROM reach GROUP BY 1) "
+        "SELECT n.id, label, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS cluster_id, count(*) OVER (PARTITION BY root) AS cluster_size FROM roots JOIN n ON n.id = roots.id"
+    )
+
+
 _SIZES = "(SELECT cluster_id, max(cluster_size) AS cluster_size FROM cl GROUP BY 1)"
 _DATES = "SELECT o_orderkey, abs(date_diff('day', a, b)) / 365.0 AS days, abs(year(a) - year(b)) AS years FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INT) AS b FROM orders)"
 _SCORED_RECORD = (
@@ -351,6 +387,12 @@ ORACLES = {
     "match_unblocked": "SELECT n_nationkey::BIGINT AS source1_id, lower(n_name) AS source1_label, r_regionkey::BIGINT AS source2_id, lower(r_name) AS source2_label, round(s, 6) AS score_label, round(s, 6) AS overall_score, "
     f"CASE WHEN s >= {0.3 + 0.05!r} THEN 'accept' WHEN s <= {0.3 - 0.05!r} THEN 'reject' ELSE 'undecided' END AS match_result, n_nationkey::BIGINT AS source1_index, r_regionkey::BIGINT AS source2_index "
     f"FROM (SELECT *, 1.0 - CAST(levenshtein(lower(n_name), lower(r_name)) AS DOUBLE) / greatest(length(n_name), length(r_name)) AS s FROM nation, region) WHERE s >= {0.3 - 0.05!r}",
+    "match_fallback": "WITH n AS (SELECT n_nationkey::BIGINT AS id, lower(n_name) AS label FROM nation), r AS (SELECT r_regionkey::BIGINT AS id, lower(r_name) AS label FROM region), "
+    f"s AS (SELECT n.id AS i, r.id AS j, n.label AS a, r.label AS b, {_lev('n.label', 'r.label')} AS s FROM n, r WHERE substring(n.label, 1, 1) = substring(r.label, 1, 1) OR substring(n.label, 1, 1) NOT IN (SELECT substring(label, 1, 1) FROM r)) "
+    "SELECT i AS source1_id, a AS source1_label, j AS source2_id, b AS source2_label, round(s, 6) AS score_label, round(s, 6) AS overall_score, "
+    f"CASE WHEN s >= {0.2 + 0.1!r} THEN 'accept' WHEN s <= {0.2 - 0.1!r} THEN 'reject' ELSE 'undecided' END AS match_result, i AS source1_index, j AS source2_index FROM s WHERE s >= {0.2 - 0.1!r}",
+    "cluster_unblocked": _nations_sql("true"),
+    "cluster_fallback": _nations_sql("right(i.label, 3) = right(j.label, 3)"),
     "search_record": _SCORED_RECORD + f"SELECT round(o, 6) AS overall_score, CASE WHEN o >= {0.5 + 0.05!r} THEN 'accept' WHEN o <= {0.5 - 0.05!r} THEN 'reject' ELSE 'undecided' END AS match_result, id AS master_index, id AS master_id, full_name AS master_full_name, "
     "email AS master_email, phone AS master_phone, balance AS master_balance, round(s0, 6) AS score_full_name, round(s1, 6) AS score_email, round(s2, 6) AS score_phone, "
     + ", ".join(f"'{v}' AS query_{k}" for k, v in RECORD.items())

@@ -74,12 +74,16 @@ def s3_options(spark: SparkSession, credentials: Mapping | None) -> None:
     conf.set("fs.s3a.endpoint.region", credentials.get("region_name", "us-east-1"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, types inferred, the usual null words as nulls."""
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header, types inferred, the usual null words as nulls.
+
+    Large files are split among tasks.  Only with ``multi_line`` may a quoted value
+    hold line breaks, and then each file is one task.
+    """
     from pyspark.errors import AnalysisException
 
     try:
-        raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+        raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"CSV file not found: {path}") from e
@@ -108,10 +112,10 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def load_source(spark: SparkSession, source, credentials: Mapping | None = None, s3_credentials: Mapping | None = None, cleaned: bool = True) -> DataFrame:
+def load_source(spark: SparkSession, source, credentials: Mapping | None = None, s3_credentials: Mapping | None = None, cleaned: bool = True, multi_line: bool = False) -> DataFrame:
     """A frame from a path, an s3 address, a table name, a table object or a frame.
 
-    Strings are cleaned unless ``cleaned`` is false.  What is none of these
+    ``multi_line``: CSV values may hold line breaks.  Strings are cleaned unless ``cleaned`` is false.  What is none of these
     raises ValueError.
     """
     if isinstance(source, DataFrame):
@@ -127,7 +131,7 @@ def load_source(spark: SparkSession, source, credentials: Mapping | None = None,
         if is_s3(source):
             s3_options(spark, s3_credentials)
             source = source.replace("s3://", "s3a://", 1)
-        df = spark.read.parquet(source) if source.rstrip("/").endswith(".parquet") else read_csv(spark, source)
+        df = spark.read.parquet(source) if source.rstrip("/").endswith(".parquet") else read_csv(spark, source, multi_line)
     else:
         raise ValueError(f"Unsupported source: {source!r}")
     return clean_strings(df) if cleaned else df

@@ -68,6 +68,20 @@ def test_unblocked_rows_meet_all_rows_of_a_large_table(spark):
     assert self_pairs(df, specs, Settings(fallback_rows=0)).count() == 0
 
 
+def test_long_suffixes_of_chosen_columns_give_keys(spark):
+    columns = [{"source1": "name", "source2": "name"}, {"source1": "phone", "source2": "phone"}]
+    settings = {"blocking_columns": ["phone"], "blocking_strategies": ["suffix_8"], "fallback_rows": 0, "threshold": 0.1, "return_all_matches": True}
+    out = L.match(people(spark), people(spark, OTHERS), columns, settings, "id", "id")
+    assert {(r["source1_index"], r["source2_index"]) for r in out.collect()} == {(1, 0)}
+    with pytest.raises(ValueError, match="email"):
+        L.match(people(spark), people(spark, OTHERS), columns, {**settings, "blocking_columns": ["email"]}, "id", "id")
+
+
+def test_csv_values_over_lines(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('id,name\n1,"Ann\nLee"\n2,Bob\n')
+    assert sorted(r["name"] for r in load_source(spark, str(tmp_path / "m.csv"), multi_line=True).collect()) == ["ann lee", "bob"]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = spark.range(999).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
     star = spark.range(2001, 2300).select(F.lit(2000).cast("long").alias("u"), F.col("id").alias("v"))
