@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +11,16 @@ from lodestone.functions.kernels import batched, jaro_winkler_one, token_set_one
 
 ALGORITHMS = ("levenshtein", "jaro_winkler", "token_set_ratio", "token_sort_ratio", "numeric_similarity", "date_similarity")
 
-# The date formats that are tried, in order.
+# The date formats that are tried, in order; M and d may have one digit or two.
 DATE_FORMATS = (
     "yyyy-M-d", "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "yyyy.M.d", "M.d.yyyy", "d.M.yyyy",
     "yyyyMMdd", "MMddyyyy", "ddMMyyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy",
     "d-MMM-yyyy", "yyyy-MMM-d", "MMM-d-yyyy", "d/MMM/yyyy", "yyyy/MMM/d", "MMM/d/yyyy",
+    "M/d/yy", "M-d-yy", "d/M/yy", "d-M-yy", "MMMM yyyy", "MMM yyyy",
 )
+# Two-digit years from here on belong to the last century.
+PIVOT_YEAR = 69
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def _text(c: Column) -> Column:
@@ -49,66 +52,107 @@ def numeric_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(x == y, F.lit(1.0)).otherwise(apart), F.lit(0.0))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is read there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _iso(y: Column, m: Column, d: Column) -> Column:
+    return F.concat_ws("-", y, m, d).try_cast("date")
+
+
+def _of_figures(p: Column, dotted: Column) -> Column:
+    """A date of three figures in a row: the year first or last, months before days where both fit."""
+    a, m, z = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))
+    short = F.concat(F.when(z.try_cast("int") >= PIVOT_YEAR, F.lit("19")).otherwise(F.lit("20")), z)
+    return (
+        F.when((F.length(a) == 4) & (F.length(z) <= 2), _iso(a, m, z))
+        .when((F.length(a) <= 2) & (F.length(z) == 4), F.coalesce(_iso(z, a, m), _iso(z, m, a)))
+        .when((F.length(a) <= 2) & (F.length(z) == 2) & ~dotted, F.coalesce(_iso(short, a, m), _iso(short, m, a)))
+    )
+
+
+def _of_name(s: Column) -> Column:
+    """A date with the whole name of a month between spaces, or a short one between spaces, dashes or slashes."""
+    known = F.array(*[F.lit(x) for x in MONTHS], *[F.lit(x[:3]) for x in MONTHS])
+
+    def dated(at: Column) -> Column:
+        number = (F.pmod(at - 1, F.lit(12)) + 1).cast("string")
+        brief = (at > 12) | (at == 5)
+        found = lambda pattern, y, d: F.when(s.rlike(pattern), _iso(F.regexp_extract(s, pattern, y), number, F.regexp_extract(s, pattern, d)))
+        spaced = F.coalesce(found(r"^[a-z]+ (\d{1,2}), (\d{4})$", 2, 1), found(r"^(\d{1,2}) [a-z]+ (\d{4})$", 2, 1), F.when(s.rlike(r"^[a-z]+ \d{4}$"), _iso(F.right(s, F.lit(4)), number, F.lit("1"))))
+        tied = F.coalesce(found(r"^(\d{1,2})([-/])[a-z]{3}\2(\d{4})$", 3, 1), found(r"^(\d{4})([-/])[a-z]{3}\2(\d{1,2})$", 1, 3), found(r"^[a-z]{3}([-/])(\d{1,2})\1(\d{4})$", 3, 2))
+        return F.when(at > 0, F.coalesce(spaced, F.when(brief, tied)))
+
+    return _let(F.array_position(known, F.regexp_extract(s, "([a-z]+)", 1)), dated)
+
+
 def parse_date(c: Column) -> Column:
-    """The first format of DATE_FORMATS that reads the whole string; null if none does.
+    """The first of DATE_FORMATS that reads the whole string; null if none does.
 
-    Month names may be in any case.  A part that is missing is not made up.
+    Month names may be in any case, and a time of day is ignored.  A month and a
+    year stand for the first day of the month.  A string is taken apart by its
+    shape, and a date is made of the parts once.
     """
-    s = F.lower(F.trim(_text(c)))
-    s = F.regexp_replace(s, r"[t ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$", "")
-    # month names begin with a capital for the parser
-    s = F.concat(F.regexp_extract(s, r"^([^a-z]*)", 1), F.initcap(F.regexp_extract(s, r"^[^a-z]*(.*)$", 1)))
-    digits = {"yyyy": r"\d{4}", "MMMM": "[A-Z][a-z]{3,}", "MMM": "[A-Z][a-z]{2}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
 
-    def shape(f: str) -> str:
-        return "^" + re.sub("yyyy|MMMM|MMM|MM|dd|M|d|[.]", lambda m: digits.get(m.group(), "[.]"), f) + "$"
+    def read(s: Column) -> Column:
+        part = lambda at, n: F.substring(s, at, n)
+        tight = F.coalesce(_iso(part(1, 4), part(5, 2), part(7, 2)), _iso(part(5, 4), part(1, 2), part(3, 2)), _iso(part(5, 4), part(3, 2), part(1, 2)))
+        figures = _let(F.split(s, "[-/.]"), lambda p: _of_figures(p, s.contains(".")))
+        return F.when(s.rlike(r"^\d{1,4}([-/.])\d{1,2}\1\d{1,4}$"), figures).when(s.rlike(r"^\d{8}$"), tight).when(s.rlike("[a-z]"), _of_name(s))
 
-    tries = [F.when(s.rlike(shape(f)), F.try_to_date(s, f)) for f in DATE_FORMATS]
-    return F.coalesce(*tries)
+    low = F.lower(F.trim(_text(c)))
+    return _let(F.when(low.contains(":"), F.regexp_replace(low, r"[t ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$", "")).otherwise(low), read)
 
 
 def date_components(c: Column) -> Column:
     """Struct (y, m, d) found in a string; m and d may form no real date."""
-    s = F.trim(_text(c))
+    first, either, tight = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})", r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})", r"(\d{4})(\d{2})(\d{2})"
 
-    def found(pattern: str, order: tuple[int, int, int], check: bool) -> Column:
-        y, m, d = (F.regexp_extract(s, pattern, k).try_cast("int") for k in order)
-        real = F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")), "yyyy-M-d").isNotNull()
-        fine = m.between(1, 12) & (d.between(1, 31) & real if check else y.isNotNull())
-        return F.when(fine, F.struct(y.alias("y"), m.alias("m"), d.alias("d")))
+    def read(s: Column) -> Column:
+        def found(pattern: str, order: tuple[int, int, int], check: bool) -> Column:
+            def tried(p: Column) -> Column:
+                real = _iso(F.lpad(p["y"].cast("string"), 4, "0"), p["m"].cast("string"), p["d"].cast("string")).isNotNull()
+                return F.when(p["m"].between(1, 12) & (p["d"].between(1, 31) & real if check else p["y"].isNotNull()), p)
 
-    first, either, tight = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})", r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})", r"(\d{4})(\d{2})(\d{2})"
-    return F.coalesce(found(first, (1, 2, 3), True), found(either, (3, 1, 2), True), found(either, (3, 2, 1), True), found(either, (3, 1, 2), False), found(tight, (1, 2, 3), True))
+            parts = F.struct(*[F.regexp_extract(s, pattern, k).try_cast("int").alias(n) for n, k in zip("ymd", order, strict=True)])
+            return F.when(s.rlike(pattern), _let(parts, tried))
+
+        return F.coalesce(found(first, (1, 2, 3), True), found(either, (3, 1, 2), True), found(either, (3, 2, 1), True), found(either, (3, 1, 2), False), found(tight, (1, 2, 3), True))
+
+    return _let(F.trim(_text(c)), read)
 
 
 def compare_components(a: Column, b: Column) -> Column:
-    equal = lambda f, w: F.when(a[f] == b[f], F.lit(w)).otherwise(F.lit(0.0))
-    parts = equal("y", 0.5) + equal("m", 0.3) + equal("d", 0.2)
-    when = lambda x: F.try_to_date(F.concat_ws("-", F.lpad(x["y"].cast("string"), 4, "0"), x["m"].cast("string"), x["d"].cast("string")), "yyyy-M-d")
-    days = F.abs(F.datediff(when(a), when(b)))
-    same = (a["y"] == b["y"]) & (a["m"] == b["m"]) & (a["d"] == b["d"])
-    near = F.greatest(parts, F.lit(0.7) / (F.lit(1.0) + days / F.lit(365.0)))
-    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(same, F.lit(1.0)).otherwise(F.coalesce(F.when(days.isNotNull(), near), parts * 0.5))
+    """Shares for an equal year, month and day; near days count too where both are real."""
+
+    def compared(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        equal = lambda f, w: F.when(a[f] == b[f], F.lit(w)).otherwise(F.lit(0.0))
+        parts = equal("y", 0.5) + equal("m", 0.3) + equal("d", 0.2)
+        when = lambda x: _iso(F.lpad(x["y"].cast("string"), 4, "0"), x["m"].cast("string"), x["d"].cast("string"))
+        days = F.abs(F.datediff(when(a), when(b)))
+        same = (a["y"] == b["y"]) & (a["m"] == b["m"]) & (a["d"] == b["d"])
+        near = F.greatest(parts, F.lit(0.7) / (F.lit(1.0) + days / F.lit(365.0)))
+        return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(same, F.lit(1.0)).otherwise(F.coalesce(F.when(days.isNotNull(), near), parts * 0.5))
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), compared)
 
 
 def date_similarity(a: Column, b: Column) -> Column:
     """1 for one day, falling with the distance; by components or letters where a side is no date."""
-    bare = lambda c: F.regexp_replace(F.lower(F.trim(_text(c))), r"[-/.\s]", "")
-    found = F.struct(
-        parse_date(a).alias("x"), parse_date(b).alias("y"), date_components(a).alias("p"), date_components(b).alias("q"),
-        bare(a).alias("s"), bare(b).alias("t"), (F.trim(_text(a)) == "").alias("i"), (F.trim(_text(b)) == "").alias("j"),
-    )
 
     def score(v: Column) -> Column:
         days = F.abs(F.datediff(v["x"], v["y"])) / F.lit(365.0)
         parsed = F.lit(1.0) / (F.lit(1.0) + days + F.lit(0.5) * F.abs(F.year(v["x"]) - F.year(v["y"])))
-        letters = F.when(v["s"] == v["t"], F.lit(1.0)).otherwise(F.lit(0.5) * levenshtein_similarity(v["s"], v["t"]))
-        both = v["x"].isNotNull() & v["y"].isNotNull()
-        parts = v["p"].isNotNull() & v["q"].isNotNull()
-        return F.when(v["i"] | v["j"], F.lit(0.0)).when(both, parsed).when(parts, compare_components(v["p"], v["q"])).otherwise(letters)
-
-    # a lambda names the parts, which would otherwise be repeated wherever they are read
-    return F.get(F.transform(F.array(found), score), F.lit(0))
+        bare = lambda c: F.regexp_replace(F.lower(c), r"[-/.\s]", "")
+        letters = F.when(bare(v["a"]) == bare(v["b"]), F.lit(1.0)).otherwise(F.lit(0.5) * levenshtein_similarity(bare(v["a"]), bare(v["b"])))
+        parts = _let(F.struct(date_components(v["a"]).alias("p"), date_components(v["b"]).alias("q")), lambda w: F.when(w["p"].isNotNull() & w["q"].isNotNull(), compare_components(w["p"], w["q"])))
+        # only what is needed is computed: components of what is no date, letters of what has none
+        return F.when((v["a"] == "") | (v["b"] == ""), F.lit(0.0)).otherwise(F.coalesce(parsed, parts, letters))
+
+    x, y = F.trim(_text(a)), F.trim(_text(b))
+    return _let(F.struct(x.alias("a"), y.alias("b"), parse_date(x).alias("x"), parse_date(y).alias("y")), score)
 
 
 def similarity(algorithm: str, a: Column, b: Column) -> Column:

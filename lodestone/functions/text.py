@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,9 +57,9 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
 
 
-def normalize_name(c: Column) -> Column:
+def normalize_name(c: Column, nicknames: Mapping[str, str] = NICKNAMES) -> Column:
     """Without a title and a suffix, nicknames replaced once, in title case."""
-    lookup = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
+    lookup = F.create_map(*[F.lit(x) for pair in (dict(nicknames) or {"": ""}).items() for x in pair])
     parts = F.filter(F.split(normalize_string(c), " "), lambda p: p != "")
     parts = F.when(F.get(parts, F.lit(0)).isin(*TITLES), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     cut = (F.size(parts) > 1) & F.get(parts, F.size(parts) - 1).isin(*SUFFIXES)

@@ -11,6 +11,13 @@ def one(spark, column, *values):
     return row.select(column(*[F.col(f"c{i}") for i in range(len(values))])).first()[0]
 
 
+def test_own_nicknames(spark):
+    assert one(spark, lambda c: text.normalize_name(c, {"zed": "zedekiah"}), "mr zed bill") == "Zedekiah Bill"
+    assert one(spark, lambda c: text.normalize_name(c, {}), "bill") == "Bill"
+    for short, name in (("robby", "Robert"), ("davey", "David"), ("gabe", "Gabriel"), ("rick", "Richard"), ("russ", "Russell")):
+        assert one(spark, text.normalize_name, f"{short} smith") == f"{name} Smith"
+
+
 @pytest.mark.parametrize(
     ("f", "value", "want"),
     [
@@ -61,7 +68,29 @@ def test_token_ratios_by_hand():
 def test_dates(spark):
     assert str(one(spark, parse_date, "January 5, 2020")) == "2020-01-05"
     assert one(spark, parse_date, "2020-02-30") is None
-    assert one(spark, lambda c: compare_components(date_components(c), date_components(F.lit("1980-02-31"))), "02/31/1980") in (None, 1.0, 0.0)
+    parts = lambda x, y: one(spark, lambda a, b: compare_components(date_components(a), date_components(b)), x, y)
+    assert one(spark, date_components, "born 1980-01-15!") == (1980, 1, 15) and one(spark, date_components, "02/31/1980") == (1980, 2, 31)
+    assert one(spark, date_components, "soon") is None and one(spark, date_components, "31/12/1999") == (1999, 12, 31)
+    assert parts("x 1980-01-15", "1980-01-15 y") == 1.0 and parts("soon", "1980-01-15") == 0.0
+    assert parts("1980-01-15", "1980-01-16") == pytest.approx(max(0.8, 0.7 / (1 + 1 / 365)))
+    assert parts("02/31/1980", "1980-02-10") == pytest.approx(0.5 * 0.8)
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("1980-1-5", "1980-01-05"), ("01-15-1980", "1980-01-15"), ("15-01-1980", "1980-01-15"), ("1980/01/15", "1980-01-15"), ("1/2/1980", "1980-01-02"), ("13/2/1980", "1980-02-13"),
+        ("1980.1.15", "1980-01-15"), ("1.15.1980", "1980-01-15"), ("15.1.1980", "1980-01-15"), ("19800115", "1980-01-15"), ("01151980", "1980-01-15"), ("15011980", "1980-01-15"),
+        ("January 15, 1980", "1980-01-15"), ("15 january 1980", "1980-01-15"), ("JAN 15, 1980", "1980-01-15"), ("15 Jan 1980", "1980-01-15"), ("15-Jan-1980", "1980-01-15"),
+        ("1980-Jan-15", "1980-01-15"), ("Jan-15-1980", "1980-01-15"), ("15/Jan/1980", "1980-01-15"), ("1980/jan/15", "1980-01-15"), ("jan/15/1980", "1980-01-15"), ("may 5, 2020", "2020-05-05"),
+        ("1/5/80", "1980-01-05"), ("1-5-20", "2020-01-05"), ("25/12/68", "2068-12-25"), ("12/25/69", "1969-12-25"), ("May 2020", "2020-05-01"), ("Sep 2020", "2020-09-01"), ("september 2020", "2020-09-01"),
+        ("1980-01-15 10:30", "1980-01-15"), ("1980-01-15T10:30:05.25", "1980-01-15"), ("1980-13-15", None), ("1980-02-30", None), ("sept 2020", None), ("15-january-1980", None), ("1980-01/15", None),
+        ("jan-15/1980", None), ("15 foo 1980", None), ("198-1-15", None), ("soon", None), ("", None), (None, None), ("99999999", None),
+    ],
+)
+def test_date_formats(spark, value, want):
+    found = one(spark, parse_date, value)
+    assert (str(found) if found else None) == want
 
 
 def test_batch_and_sql_names(spark):
