@@ -322,8 +322,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowd: int = CROWD)
     crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
     some = found.where(F.col("kind") == _COMPARE).join(crowded, F.col("key") == F.col("crowd"), "left")
     wanted = some.groupBy("doc", "node").agg(F.collect_list(F.struct("key", "packed", F.col("crowd").isNotNull().alias("crowd"))).alias("x"))
-    # Equal rows are fetched from once.
-    once = texts.join(wanted, ["doc", "node"]).select("doc", "node", "text", "x").dropDuplicates(["doc", "node"])
+    # Equal rows are fetched from once.  The join reads the texts as the last one below does, so that one shuffle serves both.
+    once = texts.join(wanted, ["doc", "node"], "left").dropDuplicates(["doc", "node"])
     fetched = once.mapInPandas(_fetch, f"{row}, piece binary")
     compared = fetched.repartition(_route()).sortWithinPartitions(*order).mapInPandas(_compare, "doc long, node long, packed long")
     whole = found.where(F.col("kind") == _WHOLE).select("doc", "node", "packed")
