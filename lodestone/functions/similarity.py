@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.kernels import batched, jaro_winkler_one, token_set_one, token_sort_one
+from lodestone.functions.kernels import batched, jaro_winkler, token_set, token_sort
 
 ALGORITHMS = ("levenshtein", "jaro_winkler", "token_set_ratio", "token_sort_ratio", "numeric_similarity", "date_similarity")
 
@@ -34,15 +34,15 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:
-    return batched(jaro_winkler_one)(_text(a), _text(b))
+    return batched(jaro_winkler)(_text(a), _text(b))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    return batched(token_set_one)(_text(a), _text(b))
+    return batched(token_set)(_text(a), _text(b))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    return batched(token_sort_one)(_text(a), _text(b))
+    return batched(token_sort)(_text(a), _text(b))
 
 
 def numeric_similarity(a: Column, b: Column) -> Column:
@@ -181,8 +181,8 @@ def batch_similarity(algorithm: str, left: list, right: list) -> list[float]:
 
 def register(spark: SparkSession) -> None:
     """The kernels as SQL functions of the session."""
-    for name, one in (("jaro_winkler_similarity", jaro_winkler_one), ("token_set_ratio", token_set_one), ("token_sort_ratio", token_sort_one)):
-        spark.udf.register(name, batched(one))
+    for name, many in (("jaro_winkler_similarity", jaro_winkler), ("token_set_ratio", token_set), ("token_sort_ratio", token_sort)):
+        spark.udf.register(name, batched(many))
 
 
 __all__ = ["ALGORITHMS", "DATE_FORMATS", "batch_similarity", "similarity"]

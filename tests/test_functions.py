@@ -61,8 +61,20 @@ def test_lcs_against_the_table():
 
 
 def test_token_ratios_by_hand():
-    assert kernels.token_set_one("a x", "a y") == pytest.approx(max(1 - 2 / 6, 1 - 2 / 4))
-    assert kernels.token_sort_one("b a", "a c") == pytest.approx(2 * 2 / 6)
+    assert kernels.token_set(["a x"], ["a y"])[0] == pytest.approx(max(1 - 2 / 6, 1 - 2 / 4))
+    assert kernels.token_sort(["b a"], ["a c"])[0] == pytest.approx(2 * 2 / 6)
+
+
+def test_lanes_equal_single_pairs():
+    import random
+
+    r = random.Random(5)
+    text = lambda: "".join(r.choice("abcé\U0001f600 \0") for _ in range(r.choice((0, 1, 2, 5, 20, 63, 64, 65, 90))))
+    a, b = [text() for _ in range(400)], [text() for _ in range(400)]
+    a[:50] = b[:50]
+    assert kernels.lcs_lengths(a, b).tolist() == [kernels.lcs_length(x, y) for x, y in zip(a, b, strict=True)]
+    found = kernels._apart(a, b, kernels._jaro_lanes, kernels.jaro, float)
+    assert found == pytest.approx([kernels.jaro(x, y) for x, y in zip(a, b, strict=True)], abs=1e-12)
 
 
 def test_dates(spark):
