@@ -122,14 +122,26 @@ def candidate_pairs(left: DataFrame, right: DataFrame, specs: Sequence[PairSpec]
     """
     if not settings.use_blocking:
         return _all_pairs(left.select("__idx"), right, settings, None)
+    pairs = _met_pairs(left, right, specs, settings)
+    limited = _limited(pairs, settings)
+    alone = left.select("__idx").join(pairs.select(F.col("idx1").alias("__idx")).distinct(), "__idx", "left_anti")
+    return limited.unionByName(_all_pairs(alone, right, settings, settings.match_fallback()))
+
+
+def _met_pairs(left: DataFrame, right: DataFrame, specs: Sequence[PairSpec], settings: Settings) -> DataFrame:
+    """Distinct (idx1, idx2) that share a block, with their best ``tier`` where candidates are limited."""
     right_keys = cap_blocks(key_table(right, [s.right for s in _keyed(specs, settings)], settings.blocking_strategies), settings.max_block_size, settings.skip_high_cardinality)
     left_keys = key_table(left, [s.left for s in _keyed(specs, settings)], settings.blocking_strategies)
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("grp"))
     met = left_keys.withColumnRenamed("__idx", "idx1").join(right_keys.withColumnRenamed("__idx", "idx2"), ["pair", "grp", "frag"])
-    pairs = met.groupBy("idx1", "idx2").agg(F.min(tier).alias("tier")) if settings.max_candidates else met.select("idx1", "idx2").distinct()
-    limited = _limited(pairs, settings)
-    alone = left.select("__idx").join(pairs.select(F.col("idx1").alias("__idx")).distinct(), "__idx", "left_anti")
-    return limited.unionByName(_all_pairs(alone, right, settings, settings.match_fallback()))
+    return met.groupBy("idx1", "idx2").agg(F.min(tier).alias("tier")) if settings.max_candidates else met.select("idx1", "idx2").distinct()
+
+
+def candidate_stats(left: DataFrame, right: DataFrame, specs: Sequence[PairSpec], settings: Settings) -> DataFrame:
+    """One row: matched_rows that meet a block, candidates before the limit, capped_rows that have more than ``max_candidates``."""
+    each = _met_pairs(left, right, specs, settings).groupBy("idx1").agg(F.count(F.lit(1)).alias("n"))
+    capped = F.lit(0).cast("long") if settings.max_candidates is None else F.count_if(F.col("n") > settings.max_candidates)
+    return each.agg(F.count(F.lit(1)).alias("matched_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), capped.alias("capped_rows"))
 
 
 def _all_pairs(left: DataFrame, right: DataFrame, settings: Settings, most: int | None) -> DataFrame:

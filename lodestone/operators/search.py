@@ -16,9 +16,10 @@ from lodestone.plans.profile import column_types
 from lodestone.plans.specs import PairSpec, Settings, map_query
 
 
-def search(record: Mapping, master: DataFrame, columns: Sequence[Mapping] | None = None, settings: Settings | Mapping | None = None, max_results: int = 10, key: str | None = None) -> DataFrame:
-    """The rows of ``master`` that score at least threshold less the undecided range.
+def search(record: Mapping, master: DataFrame, columns: Sequence[Mapping] | None = None, settings: Settings | Mapping | None = None, max_results: int = 10, key: str | None = None, threshold: float | None = None) -> DataFrame:
+    """The rows of ``master`` that score at least ``threshold`` less the undecided range.
 
+    ``threshold`` is that of the settings unless given; labels always follow the settings.
     The record is folded into the plan as constants, so the master is read once
     without a join.  Types are those of the master's columns; mappings of columns
     that it lacks are left out.  Without a row in any of the record's blocks all
@@ -51,7 +52,8 @@ def search(record: Mapping, master: DataFrame, columns: Sequence[Mapping] | None
     names = score_names(specs)
     scores = [similarity(s.how, normalize(s.type, asked(s)), normalize(s.type, F.col(f"`{s.right}`"))) for s in specs]
     scored = rows.withColumns(dict(zip(names, scores, strict=True))).withColumn("overall_score", weighted_mean([F.col(n) for n in names], specs))
-    out = scored.where(F.col("overall_score") >= settings.bounds()[0]).select(
+    low = settings.bounds()[0] if threshold is None else threshold - settings.undecided_range
+    out = scored.where(F.col("overall_score") >= low).select(
         "overall_score", classify(F.col("overall_score"), settings).alias("match_result"), F.col("__idx").alias("master_index"),
         *[F.col(f"`{c}`").alias(f"master_{c}") for c in master.columns if c != "__idx"], *names,
         *[F.lit(v).alias(f"query_{k}") for k, v in record.items()],

@@ -109,6 +109,23 @@ def similarity_token_ratios(spark, d):
     return _rounded(t.select("p_partkey", set_(F.col("a"), F.col("b")).alias("set_contained"), set_(F.col("a"), F.col("c")).alias("set_ratio"), sort(F.col("a"), F.col("c")).alias("sort_ratio")))
 
 
+#: How the dates of ``date_formats`` are written, by the order's key.
+WRITTEN = ("yyyy-M-d", "M/d/yyyy", "yyyy.M.d", "yyyyMMdd", "MMMM d, yyyy", "d MMM yyyy", "M/d/yy", "MMM yyyy")
+
+
+def date_formats(spark, d):
+    text = F.get(F.array(*[F.date_format("o_orderdate", f) for f in WRITTEN]), (F.col("o_orderkey") % len(WRITTEN)).cast("int"))
+    return _read(spark, d, "orders").select("o_orderkey", sim.parse_date(text).cast("string").alias("parsed"))
+
+
+def date_components(spark, d):
+    """Components within other text, and their comparison with those of a later day."""
+    a = "CASE o_orderkey % 5 WHEN 0 THEN 'due ' || date_format(o_orderdate, 'yyyy-MM-dd') || '!' WHEN 1 THEN date_format(o_orderdate, 'M/d/yyyy') WHEN 2 THEN date_format(o_orderdate, 'd/M/yyyy') WHEN 3 THEN 'n' || date_format(o_orderdate, 'yyyyMMdd') ELSE 'soon' END"
+    o = _read(spark, d, "orders").selectExpr("o_orderkey", f"{a} AS a", "'to ' || date_format(date_add(o_orderdate, CAST(o_orderkey % 700 AS INT)), 'yyyy/MM/dd') AS b")
+    p = o.select("o_orderkey", sim.date_components(F.col("a")).alias("p"), sim.date_components(F.col("b")).alias("q"))
+    return _rounded(p.select("o_orderkey", F.concat_ws("-", "p.y", "p.m", "p.d").alias("found"), sim.compare_components(F.col("p"), F.col("q")).alias("score")))
+
+
 # --- profiles and blocking ----------------------------------------------------
 
 
@@ -163,6 +180,12 @@ def candidates_fallback(spark, d):
     return _pairs(spark, d, max_block_size=60, max_candidates=3, candidate_trim_strategy="fallback")
 
 
+def candidate_statistics(spark, d):
+    left, right = prepare(people(spark, d), "id"), prepare(typed(spark, d), "id")
+    settings = Settings(blocking_strategies=("last_three", "three_gram"), max_block_size=60, max_candidates=4)
+    return blocking.candidate_stats(left, right, analyze_columns(left, right, COLUMNS[1:3]), settings)
+
+
 # --- matching, search, clustering ---------------------------------------------
 
 
@@ -186,6 +209,13 @@ def match_unblocked(spark, d):
     return _rounded(match(n, r, columns, Settings(threshold=0.3, use_blocking=False, return_all_matches=True), "id", "id"))
 
 
+def match_auto(spark, d):
+    """Columns of equal names, by their types, with equal weights."""
+    n = _read(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS label", "n_regionkey + 1 AS rank")
+    r = _read(spark, d, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS key", "r_name AS label", "r_regionkey + 1 AS rank")
+    return _rounded(match(n, r, None, Settings(threshold=0.5, use_blocking=False), "id", "key"))
+
+
 def match_fallback(spark, d):
     """Nations that meet no region in any block are compared with all of them."""
     n = _read(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS label")
@@ -209,9 +239,16 @@ def cluster_fallback(spark, d):
     return _nations(spark, d, blocking_strategies=("last_three",))
 
 
+SEARCHED = [{"source1": "full_name", "source2": "full_name", "algorithm": "jaro_winkler"}, {"source1": "email", "source2": "email", "algorithm": "levenshtein"}, {"source1": "phone", "source2": "phone", "algorithm": "levenshtein"}]
+
+
 def search_record(spark, d):
-    columns = [{"source1": "full_name", "source2": "full_name", "algorithm": "jaro_winkler"}, {"source1": "email", "source2": "email", "algorithm": "levenshtein"}, {"source1": "phone", "source2": "phone", "algorithm": "levenshtein"}]
-    return _rounded(search(RECORD, typed(spark, d), columns, Settings(threshold=0.5), 10, "id"))
+    return _rounded(search(RECORD, typed(spark, d), SEARCHED, Settings(threshold=0.5), 10, "id"))
+
+
+def search_threshold(spark, d):
+    """All rows from a threshold of its own on, with the labels of the settings."""
+    return _rounded(search(RECORD, typed(spark, d), SEARCHED, Settings(threshold=0.7), 0, "id", threshold=0.5))
 
 
 def both_tables(spark, d):
@@ -253,11 +290,11 @@ def match_distribution(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        match_best, match_all, match_labels, match_unblocked, match_fallback, cluster_unblocked, cluster_fallback, match_distribution, evaluate_matches, search_record,
+        match_best, match_all, match_labels, match_unblocked, match_auto, match_fallback, cluster_unblocked, cluster_fallback, match_distribution, evaluate_matches, search_record, search_threshold,
         cluster_people, cluster_report, cluster_histogram, cluster_largest, clean_load, normalizers,
-        similarity_levenshtein, similarity_jaro_winkler, similarity_numeric, similarity_date, similarity_token_ratios,
+        similarity_levenshtein, similarity_jaro_winkler, similarity_numeric, similarity_date, similarity_token_ratios, date_formats, date_components,
         semantic_types, query_mapping, blocking_keys, blocking_sizes, blocking_statistics,
-        candidates_skip, candidates_trim, candidates_truncate, candidates_fallback,
+        candidates_skip, candidates_trim, candidates_truncate, candidates_fallback, candidate_statistics,
     )
 }
 
@@ -370,6 +407,29 @@ def _nations_sql(met: str) -> str:
     )
 
 
+#: Longest common subsequences by the rows of their table, for the texts x and y of each (kind, k).
+_TOKENS = (
+    "WITH RECURSIVE t AS (SELECT p_partkey AS k, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type || ' ' || p_name), ' ') AS b, string_split(lower(p_type), ' ') AS c FROM part), "
+    "o AS (SELECT k, 'contained' AS kind, list_distinct(a) AS a, list_distinct(b) AS b FROM t UNION ALL SELECT k, 'set', list_distinct(a), list_distinct(c) FROM t), "
+    "q AS (SELECT k, 'sort' AS kind, array_to_string(list_sort(a), ' ') AS x, array_to_string(list_sort(c), ' ') AS y, 0 AS i FROM t UNION ALL "
+    "SELECT k, kind, array_to_string(list_sort(list_filter(a, lambda z: NOT list_contains(b, z))), ' '), array_to_string(list_sort(list_filter(b, lambda z: NOT list_contains(a, z))), ' '), "
+    "length(array_to_string(list_sort(list_filter(a, lambda z: list_contains(b, z))), ' ')) FROM o), "
+    "l AS (SELECT k, kind, x, y, 0 AS pos, list_transform(range(length(y) + 1), lambda z: 0) AS r FROM q UNION ALL "
+    "SELECT k, kind, x, y, pos + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(best[1:j])) FROM (SELECT *, list_transform(range(1, length(y) + 2), "
+    "lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(r[j], r[j - 1] + CASE WHEN substring(y, j - 1, 1) = substring(x, pos + 1, 1) THEN 1 ELSE 0 END) END) AS best FROM l WHERE pos < length(x))), "
+    "s AS (SELECT q.k, q.kind, q.i, CASE WHEN q.i > 0 THEN 1 ELSE 0 END AS gap, length(q.x) AS nx, length(q.y) AS ny, r[-1] AS lcs FROM q JOIN l ON l.k = q.k AND l.kind = q.kind AND l.pos = length(q.x)), "
+    "v AS (SELECT k, kind, CASE WHEN kind = 'sort' THEN 2.0 * lcs / (nx + ny) WHEN i > 0 AND (nx = 0 OR ny = 0) THEN 1.0 WHEN i = 0 THEN 2.0 * lcs / (nx + ny) "
+    "ELSE greatest(1 - (nx + ny - 2.0 * lcs) / (2 * i + 2 * gap + nx + ny), 1 - (gap + nx) * 1.0 / (2 * i + gap + nx), 1 - (gap + ny) * 1.0 / (2 * i + gap + ny)) END AS s FROM s) "
+    "SELECT k AS p_partkey, round(max(s) FILTER (kind = 'contained'), 6) AS set_contained, round(max(s) FILTER (kind = 'set'), 6) AS set_ratio, round(max(s) FILTER (kind = 'sort'), 6) AS sort_ratio FROM v GROUP BY k"
+)
+_PARTS = (
+    "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 700 AS INT) AS b, o_orderkey % 5 = 2 AND day(o_orderdate) <= 12 AS turned FROM orders), "
+    "c AS (SELECT o_orderkey, b, CASE WHEN o_orderkey % 5 < 4 THEN year(a) END AS y, CASE WHEN o_orderkey % 5 < 4 THEN CASE WHEN turned THEN day(a) ELSE month(a) END END AS m, "
+    "CASE WHEN o_orderkey % 5 < 4 THEN CASE WHEN turned THEN month(a) ELSE day(a) END END AS d FROM o) "
+    "SELECT o_orderkey, concat_ws('-', y, m, d) AS found, round(CASE WHEN y IS NULL THEN 0.0 WHEN make_date(y, m, d) = b THEN 1.0 ELSE greatest("
+    "(CASE WHEN y = year(b) THEN 0.5 ELSE 0.0 END) + (CASE WHEN m = month(b) THEN 0.3 ELSE 0.0 END) + (CASE WHEN d = day(b) THEN 0.2 ELSE 0.0 END), "
+    "0.7 / (1.0 + abs(date_diff('day', make_date(y, m, d), b)) / 365.0)) END, 6) AS score FROM c"
+)
 _SIZES = "(SELECT cluster_id, max(cluster_size) AS cluster_size FROM cl GROUP BY 1)"
 _DATES = "SELECT o_orderkey, abs(date_diff('day', a, b)) / 365.0 AS days, abs(year(a) - year(b)) AS years FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INT) AS b FROM orders)"
 _SCORED_RECORD = (
@@ -378,6 +438,19 @@ _SCORED_RECORD = (
     "OR substring(email, 1, 1) = 'b' OR substring(email, 1, 3) = 'bro' OR right(email, 3) = 'com' OR substring(phone, 1, 1) = '5' OR substring(phone, 1, 3) = '555' OR right(phone, 3) = '832') "
 )
 
+
+
+def _record_sql(threshold: float, labelled: float) -> str:
+    """Rows from ``threshold`` less the band on, with labels by ``labelled``."""
+    low, high = labelled - 0.05, labelled + 0.05
+    return (
+        _SCORED_RECORD + f"SELECT round(o, 6) AS overall_score, CASE WHEN o >= {high!r} THEN 'accept' WHEN o <= {low!r} THEN 'reject' ELSE 'undecided' END AS match_result, id AS master_index, id AS master_id, full_name AS master_full_name, "
+        "email AS master_email, phone AS master_phone, balance AS master_balance, round(s0, 6) AS score_full_name, round(s1, 6) AS score_email, round(s2, 6) AS score_phone, "
+        + ", ".join(f"'{v}' AS query_{k}" for k, v in RECORD.items())
+        + f" FROM (SELECT *, (s0 + s1 + s2) / 3.0 AS o FROM q) WHERE o >= {threshold - 0.05!r}"
+    )
+
+
 ORACLES = {
     "match_best": _BEST + "SELECT * FROM m",
     "match_all": _match_sql(0.7, 0.1, True) + "SELECT * FROM m",
@@ -387,16 +460,18 @@ ORACLES = {
     "match_unblocked": "SELECT n_nationkey::BIGINT AS source1_id, lower(n_name) AS source1_label, r_regionkey::BIGINT AS source2_id, lower(r_name) AS source2_label, round(s, 6) AS score_label, round(s, 6) AS overall_score, "
     f"CASE WHEN s >= {0.3 + 0.05!r} THEN 'accept' WHEN s <= {0.3 - 0.05!r} THEN 'reject' ELSE 'undecided' END AS match_result, n_nationkey::BIGINT AS source1_index, r_regionkey::BIGINT AS source2_index "
     f"FROM (SELECT *, 1.0 - CAST(levenshtein(lower(n_name), lower(r_name)) AS DOUBLE) / greatest(length(n_name), length(r_name)) AS s FROM nation, region) WHERE s >= {0.3 - 0.05!r}",
+    "match_auto": f"WITH s AS (SELECT n_nationkey::BIGINT AS i, r_regionkey::BIGINT AS j, lower(n_name) AS a, lower(r_name) AS b, n_regionkey + 1 AS x, r_regionkey + 1 AS y FROM nation, region), "
+    f"v AS (SELECT *, {_lev('a', 'b')} AS s0, {_num('x', 'y')} AS s1 FROM s), o AS (SELECT *, CASE WHEN s0 >= 0.99 THEN s0 ELSE (s0 + s1) / 2.0 END AS o FROM v) "
+    "SELECT i AS source1_id, a AS source1_label, x AS source1_rank, j AS source2_key, b AS source2_label, y AS source2_rank, round(s0, 6) AS score_label, round(s1, 6) AS score_rank, round(o, 6) AS overall_score, "
+    f"CASE WHEN o >= {0.5 + 0.05!r} THEN 'accept' WHEN o <= {0.5 - 0.05!r} THEN 'reject' ELSE 'undecided' END AS match_result, i AS source1_index, j AS source2_index FROM o WHERE o > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY o DESC, j) = 1",
     "match_fallback": "WITH n AS (SELECT n_nationkey::BIGINT AS id, lower(n_name) AS label FROM nation), r AS (SELECT r_regionkey::BIGINT AS id, lower(r_name) AS label FROM region), "
     f"s AS (SELECT n.id AS i, r.id AS j, n.label AS a, r.label AS b, {_lev('n.label', 'r.label')} AS s FROM n, r WHERE substring(n.label, 1, 1) = substring(r.label, 1, 1) OR substring(n.label, 1, 1) NOT IN (SELECT substring(label, 1, 1) FROM r)) "
     "SELECT i AS source1_id, a AS source1_label, j AS source2_id, b AS source2_label, round(s, 6) AS score_label, round(s, 6) AS overall_score, "
     f"CASE WHEN s >= {0.2 + 0.1!r} THEN 'accept' WHEN s <= {0.2 - 0.1!r} THEN 'reject' ELSE 'undecided' END AS match_result, i AS source1_index, j AS source2_index FROM s WHERE s >= {0.2 - 0.1!r}",
     "cluster_unblocked": _nations_sql("true"),
     "cluster_fallback": _nations_sql("right(i.label, 3) = right(j.label, 3)"),
-    "search_record": _SCORED_RECORD + f"SELECT round(o, 6) AS overall_score, CASE WHEN o >= {0.5 + 0.05!r} THEN 'accept' WHEN o <= {0.5 - 0.05!r} THEN 'reject' ELSE 'undecided' END AS match_result, id AS master_index, id AS master_id, full_name AS master_full_name, "
-    "email AS master_email, phone AS master_phone, balance AS master_balance, round(s0, 6) AS score_full_name, round(s1, 6) AS score_email, round(s2, 6) AS score_phone, "
-    + ", ".join(f"'{v}' AS query_{k}" for k, v in RECORD.items())
-    + f" FROM (SELECT *, (s0 + s1 + s2) / 3.0 AS o FROM q) WHERE o >= {0.5 - 0.05!r} ORDER BY o DESC, id LIMIT 10",
+    "search_record": _record_sql(0.5, 0.5) + " ORDER BY o DESC, id LIMIT 10",
+    "search_threshold": _record_sql(0.5, 0.7),
     "cluster_people": _CLUSTER + "SELECT * FROM cl",
     "cluster_report": _CLUSTER + f"SELECT total_records, total_clusters, singleton_clusters, multi_record_clusters, total_records - singleton_clusters AS duplicate_records FROM (SELECT CAST(sum(cluster_size) AS BIGINT) AS total_records, count(*) AS total_clusters, count(*) FILTER (cluster_size = 1) AS singleton_clusters, count(*) FILTER (cluster_size > 1) AS multi_record_clusters FROM {_SIZES})",
     "cluster_histogram": _CLUSTER + f"SELECT cluster_size, count(*) AS n FROM {_SIZES} GROUP BY 1",
@@ -407,11 +482,15 @@ ORACLES = {
     "similarity_jaro_winkler": "SELECT p_partkey, round(jaro_winkler_similarity(p_name, p_type), 6) AS score FROM part",
     "similarity_numeric": "SELECT l_orderkey, l_linenumber, round(" + _num("l_quantity", "(l_extendedprice - 30000)") + ", 6) AS score FROM lineitem",
     "similarity_date": f"SELECT o_orderkey, round(1.0 / (1.0 + days + 0.5 * years), 6) AS score FROM ({_DATES})",
+    "similarity_token_ratios": _TOKENS,
+    "date_formats": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 8 = 7 THEN CAST(date_trunc('month', o_orderdate) AS DATE) ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS parsed FROM orders",
+    "date_components": _PARTS,
     "semantic_types": "SELECT * FROM (VALUES ('balance', 'numeric'), ('email', 'email'), ('full_name', 'string_name'), ('phone', 'phone')) AS x(column_name, semantic_type)",
     "query_mapping": "SELECT * FROM (VALUES ('FULL_NAME', 'full_name'), ('mail', 'email'), ('phone', 'phone')) AS x(query_key, master_column)",
     "blocking_keys": f"{_BASE} {_key_sql('t', ['full_name', 'email'], ALL_STRATEGIES)}",
     "blocking_sizes": f"{_BASE} SELECT pair, grp, frag, count(*) AS size FROM ({_key_sql('t', ['full_name', 'email'], ALL_STRATEGIES)}) GROUP BY 1, 2, 3",
     "blocking_statistics": f"{_BASE} SELECT count(*) FILTER (size > 100) AS skipped_keys, CAST(0 AS BIGINT) AS trimmed_keys, max(size) AS largest_block FROM (SELECT count(*) AS size FROM ({_key_sql('t', ['full_name', 'email'], ALL_STRATEGIES)}) GROUP BY pair, grp, frag)",
+    "candidate_statistics": f"{_BASE}, {_pairs_sql(['email', 'phone'], ['email', 'phone'], 60)} SELECT count(*) AS matched_rows, CAST(sum(n) AS BIGINT) AS candidates, count(*) FILTER (n > 4) AS capped_rows FROM (SELECT count(*) AS n FROM pairs GROUP BY idx1)",
     "candidates_skip": f"{_BASE}, {_pairs_sql(['email', 'phone'], ['email', 'phone'], 60)} SELECT idx1, idx2 FROM pairs",
     "candidates_trim": f"{_BASE}, {_pairs_sql(['email', 'phone'], ['email', 'phone'], 15, False)} SELECT idx1, idx2 FROM pairs",
     "candidates_truncate": f"{_BASE}, {_pairs_sql(['email', 'phone'], ['email', 'phone'], 60)} SELECT idx1, idx2 FROM pairs QUALIFY row_number() OVER (PARTITION BY idx1 ORDER BY idx2) <= 4",

@@ -25,7 +25,7 @@ def with_index(df: DataFrame, key: str | None = None) -> DataFrame:
 
     With ``key`` it is that unique whole-number column.  Without one it is the
     0-based position of the row: ids that grow within a partition are shifted by
-    the sizes of the partitions before it, one small number a partition.  Rows
+    the sizes of the partitions before it, from a table of one row a partition.  Rows
     are cut to shared storage first, so that positions hold when a part is lost.
     """
     if key is not None:
@@ -33,14 +33,14 @@ def with_index(df: DataFrame, key: str | None = None) -> DataFrame:
     rows = cut(df.withColumn("__mono", F.monotonically_increasing_id()))
     part = F.shiftright("__mono", 33)
     sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    shift, at = [], 0
+    starts, at = [], 0
     for p, n in sizes:
-        shift += [F.lit(p).cast("long"), F.lit(at).cast("long")]
+        starts.append((p, at))
         at += n
-    if not shift:
-        return rows.withColumn("__idx", F.col("__mono")).drop("__mono")
-    start = F.element_at(F.create_map(*shift), part)
-    return rows.withColumn("__idx", start + F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("__mono")
+    # a row for each partition of the input, whose number does not follow the rows' number
+    shift = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __start long"))
+    own = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(shift, part == F.col("__part")).withColumn("__idx", F.col("__start") + own).drop("__mono", "__part", "__start")
 
 
 def is_s3(source) -> bool:
