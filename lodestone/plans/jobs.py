@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 #: Smaller runs first.
 PRIORITIES = {"high": 0, "medium": 1, "low": 2}
 
@@ -59,11 +61,12 @@ class JobQueue:
     """Jobs by priority, then by time; workers are threads that submit Spark jobs.
 
     With ``state`` the queue outlives the process: what waited waits again, what
-    ran is marked as failed.
+    ran is marked as failed.  With ``spark`` the Spark jobs of a running job form
+    the group of its id, by which ``cancel`` interrupts them and those to come.
     """
 
-    def __init__(self, run: Callable[[dict], Any], workers: int = 2, state: str | None = None):
-        self.run, self.state = run, state
+    def __init__(self, run: Callable[[dict], Any], workers: int = 2, state: str | None = None, spark: SparkSession | None = None):
+        self.run, self.state, self.spark = run, state, spark
         self.jobs: dict[str, dict] = {}
         self.lock = threading.Condition()
         self.open = True
@@ -110,14 +113,17 @@ class JobQueue:
             return dict(self.jobs[key]) if key in self.jobs else None
 
     def cancel(self, key: str) -> bool:
-        """Cancel a queued job, or ask a running one to stop after its next stage."""
+        """Cancel a queued job, or stop a running one: its Spark jobs are interrupted if the queue knows the session."""
         with self.lock:
             job = self.jobs.get(key)
             if not job or job["status"] not in ("queued", "running"):
                 return False
-            job["status"] = "cancelled" if job["status"] == "queued" else "stopping"
+            waits = job["status"] == "queued"
+            job["status"] = "cancelled" if waits else "stopping"
             self._keep()
-            return True
+        if self.spark and not waits:
+            self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(key)
+        return True
 
     def is_cancelled(self, key: str) -> bool:
         return (self.status(key) or {}).get("status") in ("cancelled", "stopping")
@@ -142,10 +148,14 @@ class JobQueue:
                 job["status"] = "running"
                 self._keep()
             try:
+                if self.spark:
+                    self.spark.sparkContext.setJobGroup(job["id"], job["name"], interruptOnCancel=True)
                 self.run(job)
-                end = {"status": "cancelled" if job["status"] == "stopping" else "completed"}
+                end = {"status": "completed", "error": None}
             except Exception as e:  # noqa: BLE001  a job's failure is its own
                 end = {"status": "failed", "error": str(e)}
+            if job["status"] == "stopping":
+                end = {"status": "cancelled", "error": None}
             with self.lock:
                 job.update(end)
                 self._keep()

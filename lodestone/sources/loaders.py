@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +82,6 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     Large files are split among tasks.  Only with ``multi_line`` may a quoted value
     hold line breaks, and then each file is one task.
     """
-    from pyspark.errors import AnalysisException
-
     try:
         raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     except AnalysisException as e:
@@ -92,6 +92,26 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return infer_types(nulled)
 
 
+def s3_path(address: str) -> str:
+    """The s3a form of an s3 address; one without a bucket or a key raises ValueError."""
+    bucket, _, key = address.split("://", 1)[1].partition("/")
+    if not bucket or not key:
+        raise ValueError(f"{address} names no bucket or no key; write s3://bucket/key")
+    return f"s3a://{bucket}/{key}"
+
+
+def s3_problem(address: str, e: Exception) -> ValueError:
+    """What is wrong with an s3 address, from the words of a failure."""
+    bucket, said = address.split("://", 1)[1].partition("/")[0], str(e)
+    known = (
+        (("NoSuchBucket", "bucket does not exist"), f"there is no bucket {bucket}"),
+        (("NoSuchKey", "PATH_NOT_FOUND", "FileNotFound", "CSV file not found"), f"there is nothing at {address}"),
+        (("AccessDenied", "403", "Forbidden"), f"no access to {address}: check the keys and the rights of the role"),
+        (("NoAuthWithAWS", "No AWS Credentials", "Unable to load credentials"), f"no credentials for {address}: give s3_credentials, or set them in the environment"),
+    )
+    return ValueError(next((text for words, text in known if any(w in said for w in words)), f"cannot read {address}: {said}"))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Strings that all read as whole numbers, numbers or booleans take that type, in one pass."""
     tests = []
@@ -112,6 +132,10 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _read_path(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path, multi_line)
+
+
 def load_source(spark: SparkSession, source, credentials: Mapping | None = None, s3_credentials: Mapping | None = None, cleaned: bool = True, multi_line: bool = False) -> DataFrame:
     """A frame from a path, an s3 address, a table name, a table object or a frame.
 
@@ -130,8 +154,12 @@ def load_source(spark: SparkSession, source, credentials: Mapping | None = None,
     elif isinstance(source, str):
         if is_s3(source):
             s3_options(spark, s3_credentials)
-            source = source.replace("s3://", "s3a://", 1)
-        df = spark.read.parquet(source) if source.rstrip("/").endswith(".parquet") else read_csv(spark, source, multi_line)
+            try:
+                df = _read_path(spark, s3_path(source), multi_line)
+            except (PySparkException, Py4JError, OSError) as e:
+                raise s3_problem(source, e) from e
+        else:
+            df = _read_path(spark, source, multi_line)
     else:
         raise ValueError(f"Unsupported source: {source!r}")
     return clean_strings(df) if cleaned else df

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import lodestone as L
-from lodestone.cli import main
+from lodestone.cli import main, shown
 from lodestone.operators.blocking import candidate_pairs, self_pairs
 from lodestone.operators.components import connected_components
 from lodestone.operators.evaluate import coverage, false_positive_rate
@@ -13,7 +13,7 @@ from lodestone.plans.config import check_config, validate_config
 from lodestone.plans.jobs import JobQueue, JobStore
 from lodestone.plans.profile import detect_type
 from lodestone.plans.specs import PairSpec, Settings, map_query
-from lodestone.sources.loaders import load_source, with_index
+from lodestone.sources.loaders import load_source, s3_problem, with_index
 from lodestone.sources.sinks import summary_report, write_results
 
 PEOPLE = [(0, "John Smith", "john@a.com", "555-123-4567"), (1, "Mary Jones", "mary@a.com", "555-222-3333"), (2, "Ann Lee", None, None), (3, "", "", ""), (4, "Pat Doe", "pat@d.com", "555-888-9999"), (5, "Eve Fox", "eve@f.com", "555-777-1111")]
@@ -197,3 +197,41 @@ def test_jobs(tmp_path):
         time.sleep(0.05)
     again.stop()
     assert ran == ["high", "low"]
+
+
+def test_cancel_interrupts_a_running_job(spark):
+    slow = lambda j: spark.range(8, numPartitions=8).selectExpr("reflect('java.lang.Thread', 'sleep', 120000L) IS NULL AS x").collect() if j["config"]["slow"] else None
+    q = JobQueue(slow, workers=1, spark=spark)
+    key = q.enqueue("slow", {"slow": True})
+    tracker = spark.sparkContext.statusTracker()
+    for _ in range(200):
+        if q.active() and tracker.getActiveJobsIds():
+            break
+        time.sleep(0.05)
+    assert q.cancel(key)
+    after = q.enqueue("after", {"slow": False})
+    for _ in range(400):
+        if q.status(after)["status"] == "completed":
+            break
+        time.sleep(0.05)
+    q.stop()
+    assert (q.status(key)["status"], q.status(after)["status"]) == ("cancelled", "completed")
+
+
+def test_s3_problems(spark):
+    for address in ("s3://", "s3://bucket", "s3:///key.csv"):
+        with pytest.raises(ValueError, match="names no bucket or no key"):
+            load_source(spark, address)
+    said = {"NoSuchBucket: x": "no bucket b", "NoSuchKey": "nothing at s3://b/k.csv", "Status Code: 403": "no access", "No AWS Credentials provided": "no credentials", "odd": "cannot read s3://b/k.csv: odd"}
+    for text, want in said.items():
+        assert want in str(s3_problem("s3://b/k.csv", OSError(text)))
+    with pytest.raises(ValueError, match="s3://b/k.csv"):
+        load_source(spark, "s3://b/k.csv")
+
+
+def test_shown_search_results(spark):
+    master = people(spark)
+    found = L.search({"name": "mary jones", "email": "mary@a.com"}, master, None, {"threshold": 0.6}, key="id")
+    first = shown(found).split("\n")
+    assert first[0] == "1. 1.000 accept" and "   name: mary jones" in first and not any("index" in line for line in first)
+    assert shown(found.limit(0)) == "No row reaches the threshold."
