@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from lodestone.llm.hash_sql import xxh64
+
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
 OP5 = r"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k, role, text
@@ -80,4 +84,26 @@ SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_re
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-ORACLES = {"op5_chat_formatting": OP5, "op6_exact_topk": OP6, "op8_suffix_dedup": OP8}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Shingles and their hashes, bits by majority, links of all pairs of distinct fingerprints.
+OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (
+  SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+),
+g AS (SELECT t AS k, lower(hex(encode(t))) AS h, 42::UHUGEINT AS seed FROM (SELECT DISTINCT t FROM s)),
+{xxh64("g", "hashed")},
+b AS (SELECT doc_id, count(*) AS n, {", ".join(f"sum((x >> {i}) & 1) AS b{i}" for i in range(64))} FROM s JOIN hashed ON k = t GROUP BY 1),
+f AS (
+  SELECT d.doc_id, CAST(coalesce({" + ".join(f"CASE WHEN 2 * b{i} > n THEN {1 << i}::UHUGEINT ELSE 0 END" for i in range(64))}, 0) AS UBIGINT) AS fp
+  FROM d LEFT JOIN b ON b.doc_id = d.doc_id
+),
+r AS (SELECT fp, min(doc_id) AS rep FROM f GROUP BY 1),
+e AS (SELECT a.rep AS i, b.rep AS j FROM r a JOIN r b ON bit_count(xor(a.fp, b.fp)) <= 2),
+reach(node, root) AS (SELECT rep, rep FROM r UNION SELECT e.j, reach.root FROM reach JOIN e ON e.i = reach.node),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT f.doc_id, lpad(lower(to_hex(f.fp)), 16, '0') AS fingerprint, c.component_id
+FROM f JOIN r ON r.fp = f.fp JOIN c ON c.node = r.rep
+"""
+
+ORACLES = {"op5_chat_formatting": OP5, "op6_exact_topk": OP6, "op7_simhash_dedup": OP7, "op8_suffix_dedup": OP8}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bwt, chat, exact_dedup, langid, mixing, packing, quality, secrets, simhash, topk, toxicity
 from lodestone.llm.common import tokenizer_path
+from lodestone.llm.hash_sql import xxh64
 from lodestone.llm.queries import ORACLES, QUERIES
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 3
@@ -44,6 +45,16 @@ def test_query_equals_sql(spark, sf, name):
     same_rows(spark, sf, QUERIES[name], ORACLES[name])
 
 
+def test_hash_in_sql():
+    r = np.random.default_rng(3)
+    texts = [(n, r.bytes(n)) for n in (0, 1, 3, 4, 5, 7, 8, 9, 12, 15, 16, 31, 32, 33, 36, 40, 63, 64, 65, 127, 200)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k BIGINT, h VARCHAR, seed UHUGEINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(n, b.hex(), 42 + n) for n, b in texts])
+    got = dict(con.execute(f"WITH RECURSIVE {xxh64('t', 'o')} SELECT k, x FROM o").fetchall())
+    assert got == {n: xxhash.xxh64_intdigest(b, seed=42 + n) for n, b in texts}
+
+
 def test_every_operator_takes_awkward_and_empty_tables(spark, odd):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (8, None)], "doc_id long, toxic int")
     talks = spark.createDataFrame([(0, None, None, None), (None, 1, "user", "x"), (3, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
