@@ -1,9 +1,38 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from lodestone.llm import quality
 from lodestone.llm.hash_sql import xxh64
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+#: Base counts, then buckets of words (seed 42) and of word pairs (the number 2, the first and the second word in a chain of seeds).
+OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+t AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i < len(w) THEN w[i + 1] END AS b, CASE WHEN i + 1 < len(w) THEN array_to_string(w[i:i + 2], ' ') END AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+p AS (SELECT doc_id, i FROM t WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, c) > 1),
+u AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM p, (VALUES (0), (1), (2)) AS x(j) GROUP BY 1),
+q0 AS (SELECT 0 AS k, '02000000' AS h, 42::UHUGEINT AS seed), {xxh64("q0", "two")},
+q1 AS (SELECT a AS k, lower(hex(encode(a))) AS h, 42::UHUGEINT AS seed FROM (SELECT DISTINCT a FROM t)), {xxh64("q1", "ones")},
+q2 AS (SELECT k, h, (SELECT x FROM two)::UHUGEINT AS seed FROM q1), {xxh64("q2", "firsts")},
+q3 AS (SELECT a || ' ' || b AS k, lower(hex(encode(b))) AS h, x::UHUGEINT AS seed FROM (SELECT DISTINCT a, b FROM t WHERE b IS NOT NULL) JOIN firsts ON firsts.k = a), {xxh64("q3", "seconds")},
+g AS (SELECT doc_id, x % {quality.BUCKETS} AS bucket FROM t JOIN ones ON k = a UNION ALL SELECT doc_id, x % {quality.BUCKETS} FROM t JOIN seconds ON k = a || ' ' || b),
+n AS (SELECT bucket, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)) AS good FROM g GROUP BY 1),
+v AS (
+  SELECT bucket, CASE WHEN (SELECT sum(good) FROM n) = 0 THEN 0.0 ELSE
+         ln((good + {quality.SMOOTHING}) / ((SELECT sum(good) FROM n)::DOUBLE + {quality.SMOOTHING * quality.BUCKETS})) - ln((raw + {quality.SMOOTHING}) / ((SELECT sum(raw) FROM n)::DOUBLE + {quality.SMOOTHING * quality.BUCKETS})) END AS weight FROM n
+),
+r AS (SELECT doc_id, avg(weight) AS ratio FROM g JOIN v ON v.bucket = g.bucket GROUP BY 1),
+o AS (
+  SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(list_sum(list_transform(d.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(u.n, 0) AS n_repeat_words, ratio
+  FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+),
+z AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM o)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(ratio >= {quality.THRESHOLD}, false) AS kept, round(ratio, 6) AS log_ratio FROM z
+"""
+
 OP5 = r"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k, role, text
@@ -106,4 +135,4 @@ SELECT f.doc_id, lpad(lower(to_hex(f.fp)), 16, '0') AS fingerprint, c.component_
 FROM f JOIN r ON r.fp = f.fp JOIN c ON c.node = r.rep
 """
 
-ORACLES = {"op5_chat_formatting": OP5, "op6_exact_topk": OP6, "op7_simhash_dedup": OP7, "op8_suffix_dedup": OP8}
+ORACLES = {"op1_quality_rules": OP1, "op5_chat_formatting": OP5, "op6_exact_topk": OP6, "op7_simhash_dedup": OP7, "op8_suffix_dedup": OP8}

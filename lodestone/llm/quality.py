@@ -29,12 +29,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
 
 
-def repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that occur twice or more, from the array ``w``.
+def windows(w: Column) -> Column:
+    """A hash and the place of every 3-word window of the array ``w``, in order.
 
-    ``w`` should be a column of its own, as it is read at many places.  Windows
-    are sorted by a hash with their place; equal neighbours are compared word by
-    word, and the union of their places is summed in order.
+    ``w`` should be a column of its own, as it is read at many places.
     """
     last = F.size(w) - WINDOW
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -49,7 +47,11 @@ def _same(w: Column, a: Column, b: Column) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every row, with ``base_failed``; null text: no words."""
+    """doc_id and the counts of every row, with ``base_failed``; null text: no words.
+
+    Windows of a text with repeats are sorted by hash and place; equal neighbours
+    are compared word by word, and the union of their places is summed in order.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = docs.select("doc_id", text.alias("text")).select(
@@ -59,7 +61,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
-    d = d.withColumn("grams", repeat_words(F.col("w")))
+    d = d.withColumn("grams", windows(F.col("w")))
     d = d.withColumn("sorted", F.when(F.size("grams") > F.size(F.array_distinct("grams.h")), F.array_sort("grams")))
     s, w = F.col("sorted"), F.col("w")
     again = F.filter(s, lambda x, j: _same(w, x, F.get(s, j - 1)) | _same(w, x, F.get(s, j + 1)))

@@ -22,7 +22,7 @@ def _held_out(which: tuple[int, int], doc_id: str = "doc_id"):
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.judge(docs, labels.where("quality = 1").select("doc_id"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_ratio", 6).alias("log_ratio"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
