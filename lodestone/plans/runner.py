@@ -16,9 +16,12 @@ from lodestone.sources.loaders import load_source
 from lodestone.sources.sinks import write_cluster_summary, write_results
 
 
-def run(spark: SparkSession, config: Mapping[str, Any], record: Mapping | None = None, write: bool = True, max_results: int = 10) -> DataFrame:
-    """Run a configuration; its result is returned, and written unless ``write`` is false."""
-    config = check_config(config)
+def run(spark: SparkSession, config: Mapping[str, Any], record: Mapping | None = None, write: bool = True, max_results: int = 10, check_files: bool = True) -> DataFrame:
+    """Run a configuration; its result is returned, and written unless ``write`` is false.
+
+    ``check_files`` looks for the sources on this machine first; on a cluster they may lie elsewhere.
+    """
+    config = check_config(config, check_files)
     mode = config.get("mode", "matching")
     credentials, s3 = config.get("mysql_credentials"), config.get("s3_credentials")
 

@@ -6,7 +6,9 @@ second table is the first with typing errors, so that the truth is known.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +20,13 @@ from lodestone.operators.clustering import cluster
 from lodestone.operators.evaluate import evaluate, score_distribution
 from lodestone.operators.matching import label_histogram, match, prepare
 from lodestone.operators.search import search
+from lodestone.plans.lineage import cut, ensure_checkpoint_dir, remove_folder
 from lodestone.plans.profile import column_types
+from lodestone.plans.runner import run
 from lodestone.plans.specs import Settings, analyze_columns, map_query
-from lodestone.sources.loaders import clean_strings
-from lodestone.sources.sinks import cluster_summary, largest_clusters, size_histogram
+from lodestone.sources.loaders import clean_strings, load_source
+from lodestone.sources.sinks import cluster_summary, largest_clusters, size_histogram, write_results
+from lodestone.streaming.matching import match_stream
 
 FIRST = "James,Maria,Robert,Linda,William,Susan,Bob,Karen,Bill,Nancy,Mike,Helen"
 LAST = "Smith,Johnson,Brown,Garcia,Miller,Davis,Lopez,Wilson,Anderson,Thomas,Taylor,Moore,Jackson,Martin,Lee,Perez,White,Harris,Clark,Young"
@@ -126,6 +131,60 @@ def date_components(spark, d):
     return _rounded(p.select("o_orderkey", F.concat_ws("-", "p.y", "p.m", "p.d").alias("found"), sim.compare_components(F.col("p"), F.col("q")).alias("score")))
 
 
+# --- sources, sinks, configuration, streams -------------------------------------
+
+
+@contextmanager
+def _folder(spark):
+    """A folder of the shared storage that goes when its results are read and cut."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/query-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove_folder(spark, path)
+
+
+def csv_source(spark, d):
+    """A table written as CSV and loaded again: types inferred, null words as nulls, strings cleaned."""
+    with _folder(spark) as folder:
+        odd = _read(spark, d, "supplier").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 4 = 0 THEN 'N/A' WHEN s_suppkey % 4 = 1 THEN '  \"A, ' || s_name || '\"  B ' ELSE s_name END AS label", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal", "s_suppkey % 2 = 0 AS even")
+        write_results(odd, f"{folder}/supplier.csv")
+        return cut(load_source(spark, f"{folder}/supplier.csv"))
+
+
+def sinks(spark, d):
+    """Rows that went through each file format."""
+    nations = _read(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS label")
+    with _folder(spark) as folder:
+        for kind in ("csv", "json", "parquet"):
+            write_results(nations, f"{folder}/n.{kind}")
+        read = {"csv": load_source(spark, f"{folder}/n.csv"), "json": clean_strings(spark.read.json(f"{folder}/n.json")), "parquet": load_source(spark, f"{folder}/n.parquet")}
+        parts = [df.select(F.lit(kind).alias("kind"), "id", "label") for kind, df in read.items()]
+        return cut(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def config_clusters(spark, d):
+    """A configuration run from source to sink; its output is read back."""
+    with _folder(spark) as folder:
+        _read(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS label").orderBy("id").coalesce(1).write.parquet(f"{folder}/in.parquet")
+        columns = [{"column": "label", "algorithm": "levenshtein"}]
+        run(spark, {"mode": "clustering", "source1": f"{folder}/in.parquet", "output": f"{folder}/out.parquet", "clustering": {"columns": columns, "threshold": 0.4, "use_blocking": False}}, check_files=False)
+        return cut(spark.read.parquet(f"{folder}/out.parquet"))
+
+
+def stream_match(spark, d):
+    """The nations as a stream against the regions."""
+    columns = [{"source1": "label", "source2": "label", "algorithm": "levenshtein"}]
+    regions = _read(spark, d, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS id", "r_name AS label")
+    with _folder(spark) as folder:
+        nations = _read(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS label")
+        nations.write.parquet(f"{folder}/in")
+        stream = spark.readStream.schema(nations.schema).parquet(f"{folder}/in")
+        settings = Settings(threshold=0.3, use_blocking=False, return_all_matches=True)
+        match_stream(stream, regions, f"{folder}/out", f"{folder}/state", columns, settings, "id", "id", once=True).awaitTermination()
+        return _rounded(cut(spark.read.parquet(f"{folder}/out").drop("batch")))
+
+
 # --- profiles and blocking ----------------------------------------------------
 
 
@@ -293,7 +352,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         match_best, match_all, match_labels, match_unblocked, match_auto, match_fallback, cluster_unblocked, cluster_fallback, match_distribution, evaluate_matches, search_record, search_threshold,
         cluster_people, cluster_report, cluster_histogram, cluster_largest, clean_load, normalizers,
         similarity_levenshtein, similarity_jaro_winkler, similarity_numeric, similarity_date, similarity_token_ratios, date_formats, date_components,
-        semantic_types, query_mapping, blocking_keys, blocking_sizes, blocking_statistics,
+        csv_source, sinks, config_clusters, stream_match, semantic_types, query_mapping, blocking_keys, blocking_sizes, blocking_statistics,
         candidates_skip, candidates_trim, candidates_truncate, candidates_fallback, candidate_statistics,
     )
 }
@@ -469,6 +528,9 @@ ORACLES = {
     "SELECT i AS source1_id, a AS source1_label, j AS source2_id, b AS source2_label, round(s, 6) AS score_label, round(s, 6) AS overall_score, "
     f"CASE WHEN s >= {0.2 + 0.1!r} THEN 'accept' WHEN s <= {0.2 - 0.1!r} THEN 'reject' ELSE 'undecided' END AS match_result, i AS source1_index, j AS source2_index FROM s WHERE s >= {0.2 - 0.1!r}",
     "cluster_unblocked": _nations_sql("true"),
+    "config_clusters": _nations_sql("true"),
+    "csv_source": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 4 = 1 THEN '\"a, ' || lower(s_name) || '\" b' ELSE lower(s_name) END AS label, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS s_acctbal, s_suppkey % 2 = 0 AS even FROM supplier",
+    "sinks": "SELECT kind, CAST(n_nationkey AS BIGINT) AS id, lower(n_name) AS label FROM nation, (VALUES ('csv'), ('json'), ('parquet')) AS k(kind)",
     "cluster_fallback": _nations_sql("right(i.label, 3) = right(j.label, 3)"),
     "search_record": _record_sql(0.5, 0.5) + " ORDER BY o DESC, id LIMIT 10",
     "search_threshold": _record_sql(0.5, 0.7),
@@ -497,3 +559,4 @@ ORACLES = {
     "candidates_fallback": f"{_BASE}, {_pairs_sql(['email', 'phone'], ['email', 'phone'], 60)}, n AS (SELECT *, min(tier) OVER (PARTITION BY idx1) AS best, count(*) OVER (PARTITION BY idx1) AS every FROM pairs), "
     "o AS (SELECT *, count(*) FILTER (tier = best) OVER (PARTITION BY idx1) AS own FROM n) SELECT idx1, idx2 FROM o WHERE every <= 3 OR own > 3 OR tier = best QUALIFY row_number() OVER (PARTITION BY idx1 ORDER BY idx2) <= 3",
 }
+ORACLES["stream_match"] = ORACLES["match_unblocked"]
