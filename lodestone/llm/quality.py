@@ -57,11 +57,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", text.alias("text")).select(
         "doc_id",
         words(F.col("text")).alias("w"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
-    d = d.withColumn("grams", windows(F.col("w")))
+    d = d.withColumns({"word_chars": F.length(F.array_join("w", "")).cast("long"), "grams": windows(F.col("w"))})
     d = d.withColumn("sorted", F.when(F.size("grams") > F.size(F.array_distinct("grams.h")), F.array_sort("grams")))
     s, w = F.col("sorted"), F.col("w")
     again = F.filter(s, lambda x, j: _same(w, x, F.get(s, j - 1)) | _same(w, x, F.get(s, j + 1)))
